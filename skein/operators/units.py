@@ -230,10 +230,10 @@ def _with_degree(text: Column) -> Column:
 def _digits_for_words(text: Column) -> Column:
     """A number word in digits, in a text without digits."""
     words = "|".join(sorted(NUMBER_WORDS, key=lambda w: -len(w)))
-    word = F.lower(F.regexp_extract(text, rf"(?i)(?:^|\s)({words})(?=\s)", 1))
+    word = F.lower(F.regexp_extract(text, rf"(?i)(?:^|[\s~≈:])({words})(?=\s)", 1))
     value = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, str(n))])[word]
     spoken = ~text.rlike(r"\d") & (word != "")
-    return F.when(spoken, F.concat(value, F.regexp_extract(text, rf"(?i)(?:^|\s)(?:{words})(\s.*)$", 1))).otherwise(text)
+    return F.when(spoken, F.concat(value, F.regexp_extract(text, rf"(?i)(?:^|[\s~≈:])(?:{words})(\s.*)$", 1))).otherwise(text)
 
 
 def number_and_unit(text: Column) -> tuple[Column, Column]:

@@ -1 +1,21 @@
-"""skein.plans."""
+"""Registered queries and their SQL, by module."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skein.plans import problems
+
+MODULES = [problems]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q for m in MODULES for name, q in m.ORACLE.items()}

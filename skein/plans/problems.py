@@ -25,3 +25,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
+
+_P1 = r"""
+WITH r AS (
+ SELECT 'annotations' AS record_table, f AS field_name, assertion_id AS record_id, k, received_at, 'm' AS target FROM (
+   SELECT assertion_id, received_at, unnest(['head_mention_id','tail_mention_id']) AS f, unnest([head_mention_id, tail_mention_id]) AS k FROM annotations)
+ UNION ALL SELECT 'candidate_evidence','chunk_id',evidence_id,chunk_id,received_at,'c' FROM candidate_evidence),
+ j AS (SELECT record_table, field_name, record_id, target, right(regexp_replace(lower(k),'[-{}\s]','','g'),32) AS k, min(received_at) OVER (PARTITION BY record_table, record_id) AS t FROM r),
+ p AS (SELECT 'm' AS target, replace(lower(mention_id),'-','') AS k, min(received_at) AS seen, min(deleted_at) AS gone FROM concept_mentions GROUP BY ALL
+ UNION ALL SELECT 'c', replace(lower(chunk_id),'-',''), min(received_at), min(deleted_at) FROM graph_chunks GROUP BY ALL)
+SELECT DISTINCT record_table, field_name, record_id, strftime(t,'%Y-%m') AS period FROM j LEFT JOIN p USING (target, k)
+WHERE j.k IS NOT NULL AND NOT coalesce(p.seen <= t AND (p.gone IS NULL OR p.gone > t), false)
+"""
+
+ORACLE = {
+    "p1_found": _P1,
+    "p1_report": f"SELECT record_table, field_name, period, count(*) AS orphans FROM ({_P1}) GROUP BY ALL",
+}
