@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.io import table
-from skein.llm import groups, splitting, terms
+from skein.llm import groups, leaks, lookalikes, sentences, splitting, terms
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +46,38 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_pieces(spark, folder).where("piece = 1").select("chunk_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    audit = table(spark, folder, "sentence_audit").select("sentence_id", F.col("evidence.text").alias("text"))
+    parts = [
+        ("candidate_evidence", sentences.sentence_units(table(spark, folder, "candidate_evidence"), "evidence_id", "text").withColumnRenamed("evidence_id", "record_id")),
+        ("sentence_audit", sentences.sentence_units(audit, "sentence_id", "text").withColumnRenamed("sentence_id", "record_id")),
+    ]
+    a, b = [units.select(F.lit(name).alias("record_table"), "record_id", "start_offset", "end_offset") for name, units in parts]
+    return a.unionByName(b)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    mentions = table(spark, folder, "concept_mentions").where("mention_id is not null")
+    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("canonical_name", "surface_text")])
+    values = mentions.select(F.lit("concept_mentions").alias("record_table"), F.col("mention_id").alias("record_id"), F.explode(fields).alias("f"))
+    targets = table(spark, folder, "graph_candidates").where("candidate_id is not null")
+    values = values.select("record_table", "record_id", "f.field_name", "f.value").unionByName(
+        targets.select(F.lit("graph_candidates").alias("record_table"), F.col("candidate_id").cast("string").alias("record_id"), F.lit("target_text").alias("field_name"), F.col("target_text").alias("value"))
+    )
+    found = lookalikes.meant_names(values, "value", table(spark, folder, "technical_concepts"), "canonical_name", "concept_id")
+    return found.select("record_table", "field_name", "record_id", "concept_id").distinct()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", "lang")
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that reveal no item."""
+    return table(spark, folder, "documents").select("doc_id", "n_chars").join(p9_found(spark, folder), "doc_id", "left_anti")
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 ORACLE = {
     "p4_found": r"""
