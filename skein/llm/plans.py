@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.io import table
-from skein.llm import groups, leaks, lookalikes, sentences, splitting, terms
+from skein.llm import groups, leaks, lookalikes, packing, pii, sentences, splitting, terms
+
+
+#: A public tokenizer's rank file and the pattern by which it takes words apart; the environment may name others.
+TOKENIZER = os.environ.get("SKEIN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+TOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +84,25 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "n_chars").join(p9_found(spark, folder), "doc_id", "left_anti")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of 2,048 tokens and 64 segments; all tokens but a text's first bear loss."""
+    counts = packing.token_counts(table(spark, folder, "documents"), "doc_id", "text", packing.Tokenizer(TOKENIZER, TOKEN_PATTERN))
+    return packing.pack(counts.withColumn("loss", F.greatest(F.lit(0), F.col("tokens") - 1)), "doc_id", "tokens", "loss")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.container_report(p8_pack(spark, folder))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_spans(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 ORACLE = {
     "p4_found": r"""
