@@ -18,7 +18,8 @@ def bm25(documents: DataFrame, terms: Column, query: str) -> DataFrame:
     """
     wanted = term_list(query)
     distinct = sorted(set(wanted))
-    counts = [F.size(F.filter("_terms", lambda t, w=w: t == w)).alias(f"_f{i}") for i, w in enumerate(distinct)]
+    occurrences = lambda w: F.size(F.filter("_terms", lambda t: t == F.lit(w)))
+    counts = [occurrences(w).alias(f"_f{i}") for i, w in enumerate(distinct)]
     rows = documents.withColumn("_terms", terms).select(*documents.columns, F.size("_terms").alias("_length"), *counts)
     totals = rows.agg(F.count("*").alias("n"), F.avg("_length").alias("length"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(distinct))]).first()
     n, average = totals["n"], totals["length"] or 1.0

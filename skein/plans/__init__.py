@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import problems
+from skein.plans import aggregates, problems, relational, retrieval
 
-MODULES = [problems]
+MODULES = [problems, retrieval, relational, aggregates]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
