@@ -42,7 +42,7 @@ THING = re.compile(r"^(?:'s)?[\s-]{1,2}(?:isotherm|barrier|model|type|stage|effe
 CUES = {
     "person": r"(?:\b(?:Dr|Mrs|Mr|Ms|Prof|Herr|Frau|Mme|Mlle|M|г-н|г-жа)\.?\s|Inventors?\s?:\s?|Operator\s|Thanks go to\s|courier:\s|neighbour\s|Present:\s|repeated by\s|sent to\s|signed by\s|contact\s|Contact\s?:\s|Inventeur\s?:\s|Erfinder:\s|Rückfragen an\s|Anwesend waren\s|lagern bei\s|menés par(?: M\.)?\s|Автор:\s|направлять:\s|сотрудник\s|Присутствовали\s|发明人[：:]?|联系人[：:]?|测量由|作者[：:]?|発明者[：:]?\s?|連絡先[：:]?\s?|担当[：:]?\s?|संपर्क:\s|मापन\s|आविष्कारक:?\s|\bAs\s|\bBy\s|Author:\s)$",
     "email": r"(?:mailto:|write to\s|e-?mail:?\s|邮箱[：:]?\s?|メール[：:]?|\(|,\s|Questions\?\s|Вопросы:\s|почта:\s|、|:\s)$",
-    "phone": r"(?:[Tt]el\.?:?\s?|tél\.?\s?:?\s?|тел\.\s?|[Pp]hone:?\s?|call\s|reached on\s|电话[：:]?|電話[：:]?\s?|फ़ोन:?\s|फोन:?\s|/\s|или\s|Fax:?\s|mobile:?\s|[Pp]honed\s)$",
+    "phone": r"(?:[Tt]el\.?:?\s?|tél\.?\s?:?\s?|тел\.\s?|[Pp]hone:?\s?|[Cc]all\s|[Rr]ing\s|reached on\s|电话[：:]?|電話[：:]?\s?|फ़ोन:?\s|फोन:?\s|/\s|или\s|Fax:?\s|mobile:?\s|[Pp]honed\s)$",
     "id_number": r"(?:SSN:?\s?|[Pp]assport(?: no\.?)?:?\s?|staff ID:?\s?|\bID:?\s|Ausweis-Nr\.:?\s?|Steuer-ID:?\s?|sécurité sociale:?\s?|ИНН:?\s?|СНИЛС:?\s?|паспорт:?\s?|身份证号?码?[：:]?|護照|パスポート|個人番号[：:]?|पहचान संख्या:?\s|आधार:?\s|NIN:?\s|licence no\.:?\s|Personal-?nr\.:?\s)$",
     "address": r"(?:lives at\s|go to\s|,\s|in der\s|im\s|in\s|адресу:\s|住址[：:]?|地址[：:]?|住所[：:]?\s?|Adresse\s?:\s?|at\s|wohnt\s|पता:\s)$",
 }
@@ -68,7 +68,7 @@ PHONES = {
     "jp": r"(?:\+81[ -]?\d{1,3}[ -]?\d{3,4}[ -]?\d{4}|0\d{1,3}-\d{2,4}-\d{4})" + _EXT,
     "in": r"(?:\+91[ -]?|0)\d{5}[ -]?\d{5}|\+91[ -]?\d{2,4}[ -]?\d{3,4}[ -]?\d{4}",
 }
-PHONES = {k: re.compile(rf"(?<![0-9A-Za-z+.]){p}(?![0-9A-Za-z]|[-.]\d)") for k, p in PHONES.items()}
+PHONES = {k: re.compile(rf"(?<![0-9A-Za-z+.-]){p}(?![0-9A-Za-z]|[-.]\d)") for k, p in PHONES.items()}
 _RUN = re.compile(r"(?<![0-9A-Za-z.])\+?[(（]?\d[\d()（）]*(?:(?:[ .\-]|\s?/\s?)[(（]?\d[\d()）]*){0,8}" + _EXT + r"(?![0-9A-Za-z]|[.,]\d)")
 #: Identity number formats. Fixed values.
 IDS = {
@@ -297,7 +297,7 @@ def _address(rng: random.Random, lang: str) -> str:
 
 
 _CONTEXTS = {
-    "en": ["Dr. {person} ({email}) kept the log.", "We thank {person}.", "Inventor: {person}; {id}; tel. {phone}.", "Operator {person} signed the sheet ({id}).", "Present: {person}, {person} and {person}.", "Deliveries go to {address}.", "Mrs. {person} lives at {address} and was away.", "Please call {phone} or write to {email} for data.", "Letters should be sent to {person}, {address}, {email}.", "Thanks go to {person} for the help.", "Courier: {person} / {id} / {phone}", "The runs were repeated by {person} twice.", "mailto:{email}", "Questions? {email}", "{email} is read daily.", "Contact: {email}", "As {person} once remarked, it drifts.", "A unit is kept by our neighbour {person}, {address}, who can be reached on {phone}."],
+    "en": ["Dr. {person} ({email}) kept the log.", "We thank {person}.", "Inventor: {person}; {id}; tel. {phone}.", "Operator {person} signed the sheet ({id}).", "Present: {person}, {person} and {person}.", "Deliveries go to {address}.", "Mrs. {person} lives at {address} and was away.", "Please call {phone} or write to {email} for data.", "Letters should be sent to {person}, {address}, {email}.", "Thanks go to {person} for the help.", "Courier: {person} / {id} / {phone}", "The runs were repeated by {person} twice.", "mailto:{email}", "Questions? {email}", "{email} is read daily.", "Ring {phone} after six.", "{phone} rang twice; the shop moved to {address}.", "My desk line is {phone}, mine alone.", "Contact: {email}", "As {person} once remarked, it drifts.", "A unit is kept by our neighbour {person}, {address}, who can be reached on {phone}."],
     "de": ["Rückfragen an {person}, {address}, Tel. {phone}.", "Erfinder: {person}, {id}.", "Die Messung führte Frau {person} durch ({email}).", "Anwesend waren {person} und {person}.", "Die Proben lagern bei {person} in der {address}.", "Kontakt: {email}", "Anfragen gehen an {email}."],
     "fr": ["Inventeur : {person}, {id}.", "Contact : {person}, {address}, tél. {phone}.", "Les essais ont été menés par M. {person} ({email}).", "Courriel : {email}"],
     "ru": ["Переписку направлять: {person}, {address}, тел. {phone}.", "Автор: {person}, {id}.", "Измерения выполнил сотрудник {person} ({email}).", "Присутствовали {person} и {person}.", "Образцы хранятся по адресу: {address}.", "Вопросы: {email} или {phone}"],
