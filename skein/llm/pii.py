@@ -140,24 +140,41 @@ def _overlapping(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
         at = m.start() + 1
 
 
+_SCRIPTS = {"cyrillic": re.compile("[А-ЯЁ]"), "han": re.compile("[一-鿿]"), "devanagari": re.compile("[ऀ-ॿ]")}
+#: What a pattern can't match without: a script, or a character.
+_NEEDS = {k: "cyrillic" for k in [*NAMES, *ADDRESSES] if k.startswith("cyrillic") or k == "ru"} | {"han": "han", "kanji": "han", "zh": "号", "ja": "〒", "hindi": "devanagari", "hi": "devanagari"}
+_SIX_DIGITS = re.compile(r"\d(?:[ ().\-/（）№]{0,3}\d){5}")
+
+
+def _able(text: str) -> set[str]:
+    """The scripts and characters of _NEEDS that a text has."""
+    if text.isascii():
+        return set()
+    return {k for k, p in _SCRIPTS.items() if p.search(text)} | {c for c in "号〒" if c in text}
+
+
 def proposals(text: str) -> list[Span]:
     """start, end, type, format: every span that may be personal information, with overlaps."""
     out: list[Span] = []
+    able = _able(text)
     if "@" in text or "＠" in text or "at" in text or "AT" in text:
         out += [(m.start(), m.end(), "email", "email") for m in EMAIL.finditer(text)]
     for name, pattern in NAMES.items():
-        out += [(m.start(), m.end(), "person", name) for m in _overlapping(pattern, text)]
-    numbers: set[tuple[int, int, str]] = set()
-    for kind, table in (("phone", PHONES), ("id_number", IDS)):
-        for name, pattern in table.items():
-            for m in _overlapping(pattern, text):
-                out.append((m.start(), m.end(), kind, name))
-                numbers.add((m.start(), m.end(), kind))
-    for m in _RUN.finditer(text):
-        if 9 <= sum(c.isdigit() for c in m.group()) <= 18:
-            out += [(m.start(), m.end(), kind, "run") for kind in ("phone", "id_number") if (m.start(), m.end(), kind) not in numbers]
+        if name not in _NEEDS or _NEEDS[name] in able:
+            out += [(m.start(), m.end(), "person", name) for m in _overlapping(pattern, text)]
+    if _SIX_DIGITS.search(text):
+        numbers: set[tuple[int, int, str]] = set()
+        for kind, table in (("phone", PHONES), ("id_number", IDS)):
+            for name, pattern in table.items():
+                for m in _overlapping(pattern, text):
+                    out.append((m.start(), m.end(), kind, name))
+                    numbers.add((m.start(), m.end(), kind))
+        for m in _RUN.finditer(text):
+            if 9 <= sum(c.isdigit() for c in m.group()) <= 18:
+                out += [(m.start(), m.end(), kind, "run") for kind in ("phone", "id_number") if (m.start(), m.end(), kind) not in numbers]
     for name, pattern in ADDRESSES.items():
-        out += [(m.start(), m.end(), "address", name) for m in pattern.finditer(text)]
+        if name not in _NEEDS or _NEEDS[name] in able:
+            out += [(m.start(), m.end(), "address", name) for m in pattern.finditer(text)]
     return out
 
 
@@ -230,7 +247,7 @@ def _person(rng: random.Random, lang: str) -> str:
     if lang == "hi":
         return rng.choice(["तनुजिता", "ओमकृत", "विरलेश", "सुनयिका", "राजेश"]) + " " + rng.choice(["तोमरेकर", "भलवानी", "कुशवंशी", "शर्मा"])
     if lang == "ru" and rng.random() < 0.8:
-        given = rng.choice([g for g in GIVEN if ord(g[0]) > 1000]).capitalize() if rng.random() < 0.7 else _cyr(rng)
+        given = rng.choice([g for g in sorted(GIVEN) if ord(g[0]) > 1000]).capitalize() if rng.random() < 0.7 else _cyr(rng)
         sur = _cyr(rng, rng.choice(["ин", "ов", "шов", "рун"]))
         return rng.choice([f"{given} {sur}", f"{sur} {given}", f"{given[0]}. {rng.choice('АВДКМ')}. {sur}", f"{given} {sur}".upper()])
     given = rng.choice([g for g in sorted(GIVEN) if ord(g[0]) < 1000]).capitalize() if rng.random() < 0.75 else _name(rng, 2)
@@ -367,20 +384,27 @@ class Detector:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Spans in order, without overlaps."""
-        found = proposals(text)
-        if not found:
-            return []
-        score = self.trees.scores(np.array([features(text, s) for s in found]))
-        picked = []
-        for (a, b, kind, name), s in zip(found, score):
-            p = float(self.calibration[kind](np.array([s]))[0])
-            if p >= self.threshold[kind]:
-                picked.append((p >= 0.9, b - a, p, a, b, kind))
-        kept: list[tuple[int, int, str]] = []
-        for *_, a, b, kind in sorted(picked, reverse=True):
-            if all(b <= c or a >= d for c, d, _ in kept):
-                kept.append((a, b, kind))
-        return sorted(kept)
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Spans of many texts; the proposals of all are scored at once."""
+        found = [proposals(t) for t in texts]
+        x = [features(t, s) for t, spans in zip(texts, found) for s in spans]
+        score = self.trees.scores(np.array(x)) if x else np.zeros(0)
+        out, at = [], 0
+        for spans in found:
+            picked = []
+            for (a, b, kind, _), s in zip(spans, score[at : at + len(spans)]):
+                p = float(self.calibration[kind](s))
+                if p >= self.threshold[kind]:
+                    picked.append((p >= 0.9, b - a, p, a, b, kind))
+            at += len(spans)
+            kept: list[tuple[int, int, str]] = []
+            for *_, a, b, kind in sorted(picked, reverse=True):
+                if all(b <= c or a >= d for c, d, _ in kept):
+                    kept.append((a, b, kind))
+            out.append(sorted(kept))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -411,7 +435,7 @@ def personal_spans(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, *s) for d, t in zip(batch["d"], batch["t"]) for s in model.spans(t)]
+            rows = [(d, *s) for d, spans in zip(batch["d"], model.spans_of(batch["t"].tolist())) for s in spans]
             yield pd.DataFrame(rows, columns=["d", "start_offset", "end_offset", "pii_type"])
 
     return ready.mapInPandas(find, f"d {kind}, {_FOUND}").distinct().withColumnRenamed("d", doc_id)
