@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import aggregates, graphs, problems, relational, retrieval, streams, texts, validation
+from skein.plans import aggregates, graphs, pipelines, problems, relational, retrieval, streams, texts, validation
 
-MODULES = [problems, retrieval, relational, aggregates, graphs, texts, validation, streams]
+MODULES = [problems, retrieval, relational, aggregates, graphs, texts, validation, streams, pipelines]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
