@@ -45,6 +45,7 @@ CLOSING = "”\"»’'」』)]）】›］〉》"
 OPEN_TO_CLOSE = {"“": "”", "„": "“", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "‹": "›", "《": "》"}
 CLOSE = set("”“»«」』)]）】›》")
 
+_MARKS = re.compile("[\"" + re.escape("".join({*OPEN_TO_CLOSE, *CLOSE})) + "]")
 _BLANK_LINE = re.compile(r"\r?\n[^\S\r\n]*\r?\n\s*|\x0c+| +")
 _ENDS = re.compile(rf"[{re.escape(END)}]+")
 _TOKEN = re.compile(r"\S*$")
@@ -59,7 +60,8 @@ def _quote_depth(block: str) -> np.ndarray:
     """Depth of matched quotation marks and brackets behind each place."""
     stack: list[tuple[str, int]] = []
     pairs = []
-    for i, c in enumerate(block):
+    for m in _MARKS.finditer(block):
+        i, c = m.start(), m.group()
         if c == '"':
             if any(s[0] == '"' for s in stack):
                 while stack[-1][0] != '"':
@@ -172,6 +174,38 @@ def _length_scores(lengths: np.ndarray) -> np.ndarray:
     return np.where(lengths < 2, -8.0, score)
 
 
+def _few(starts: list[int], ends: list[int], opening: list[float], closing: list[float], deep: list[int]) -> list[int]:
+    """Where the best span that ends at each candidate begins: the program in plain numbers, for few candidates."""
+    best, back = [0.0], [0]
+    for j in range(1, len(ends) + 1):
+        end, cost = ends[j - 1], 9.0 * (deep[j] != 0)
+        top, at = -math.inf, 0
+        for i in range(j):
+            n = end - starts[i]
+            score = best[i] + opening[i] - 9.0 * (deep[i] != 0) + (-0.12 * abs(math.log(n / 80.0)) if n >= 2 else -8.0)
+            if score > top:
+                top, at = score, i
+        best.append(top + closing[j - 1] - cost)
+        back.append(at)
+    return back
+
+
+def _many(starts: list[int], ends: list[int], opening: list[float], closing: list[float], deep: list[int]) -> list[int]:
+    """The same over arrays, for many candidates."""
+    n = len(ends)
+    s, e = np.array(starts), np.array(ends)
+    o, c, d = np.array(opening), np.array(closing), np.array(deep)
+    best, back = np.full(n + 1, -math.inf), np.zeros(n + 1, dtype=np.int64)
+    best[0] = 0.0
+    for j in range(1, n + 1):
+        # spans from start i to end j - 1
+        unbalanced = (d[:j] != 0).astype(float) + float(d[j] != 0)
+        score = best[:j] + o[:j] + _length_scores(e[j - 1] - s[:j]) - 9.0 * unbalanced
+        i = int(np.argmax(score))
+        best[j], back[j] = score[i] + c[j - 1], i
+    return back.tolist()
+
+
 def _block_spans(block: str) -> list[tuple[int, int]]:
     """Spans of the sentences of a block that neither starts nor ends with white space."""
     depth = _quote_depth(block)
@@ -205,20 +239,11 @@ def _block_spans(block: str) -> list[tuple[int, int]]:
     n = len(ends)
     if n == 1:
         return [(0, len(block))]
-    s, e = np.array(starts), np.array(ends)
-    o, c, d = np.array(opening), np.array(closing), np.array(deep)
-    best, back = np.full(n + 1, -math.inf), np.zeros(n + 1, dtype=np.int64)
-    best[0] = 0.0
-    for j in range(1, n + 1):
-        # spans from start i to end j - 1
-        unbalanced = (d[:j] != 0).astype(float) + float(d[j] != 0)
-        score = best[:j] + o[:j] + _length_scores(e[j - 1] - s[:j]) - 9.0 * unbalanced
-        i = int(np.argmax(score))
-        best[j], back[j] = score[i] + c[j - 1], i
+    back = _few(starts, ends, opening, closing, deep) if n <= 32 else _many(starts, ends, opening, closing, deep)
     spans, j = [], n
     while j:
-        i = int(back[j])
-        spans.append((int(s[i]), int(e[j - 1])))
+        i = back[j]
+        spans.append((starts[i], ends[j - 1]))
         j = i
     return spans[::-1]
 
