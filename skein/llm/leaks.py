@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,25 +41,25 @@ SEED, SEED_CHARS = 12, 7
 #: Symbols of text that may stand in the place of one changed word, of one changed character.
 GAP, GAP_CHARS = 40, 3
 #: Symbols of corpus text that one suffix array covers.
-SHARD = 2_000_000
+SHARD = 8_000_000
 
 _ALONE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
-@lru_cache(maxsize=200_000)
-def _fold(ch: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", ch).casefold()) if c.isalnum())
+_OTHER = re.compile(r"[\W_]+")
 
 
 def stream(text: str) -> tuple[str, list[int]]:
     """(letters and digits in a row, the positions in it where words or lone characters begin)."""
+    plain = text.isascii()
+    if not plain:
+        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
     parts, starts, at = [], [], 0
-    for word in unicodedata.normalize("NFKC", text).split():
-        folded = word.casefold()
-        kept = folded if folded.isalnum() else "".join(map(_fold, folded))
+    for word in (text.lower() if plain else text).split():
+        kept = word if word.isalnum() else _OTHER.sub("", word)
         if not kept:
             continue
-        if _ALONE.search(kept):
+        if not plain and not kept.isascii() and _ALONE.search(kept):
             starts += [at + i for i, c in enumerate(kept) if i == 0 or _ALONE.match(c) or _ALONE.match(kept[i - 1])]
         else:
             starts.append(at)
@@ -67,12 +68,36 @@ def stream(text: str) -> tuple[str, list[int]]:
     return "".join(parts), starts
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: letter or digit, white space, character that stands alone."""
+    every = [chr(c) for c in range(0x110000)]
+    return tuple(np.array([f(c) for c in every]) for f in (str.isalnum, str.isspace, lambda c: bool(_ALONE.match(c))))
+
+
+def streams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The streams of many texts behind each other, each closed by a 0: (symbols, the places where words begin, the place behind each text)."""
+    whole = "\0".join(t.replace("\0", "\x01") for t in texts) + "\0"
+    if not whole.isascii():
+        whole = unicodedata.normalize("NFKC", whole).casefold()
+    codes = _codes(unicodedata.normalize("NFKC", whole.lower() if whole.isascii() else whole))
+    letter, space, alone = _kinds()
+    border = codes == 0
+    kept = np.flatnonzero(letter[codes] | border)
+    symbols = codes[kept]
+    gaps = np.cumsum(space[codes])[kept]
+    single, closing = alone[symbols], border[kept]
+    starts = np.ones(len(symbols), dtype=bool)
+    starts[1:] = (gaps[1:] != gaps[:-1]) | single[1:] | single[:-1] | closing[:-1]
+    return symbols, np.flatnonzero(starts & ~closing), np.concatenate([[0], np.flatnonzero(closing) + 1])
+
+
 @dataclass
 class Item:
     item_id: int
     text: str
-    starts: np.ndarray  # where its words begin
-    ends: np.ndarray
+    starts: list[int]  # where its words begin
+    ends: list[int]
     chars: bool
 
     @classmethod
@@ -81,12 +106,11 @@ class Item:
         chars = (lang or "").lower()[:2] in ("zh", "ja", "cn") or len(_ALONE.findall(symbols)) > len(symbols) / 3
         if chars:
             starts = list(range(len(symbols)))
-        starts = np.array(starts, dtype=np.int64)
-        return cls(item_id, symbols, starts, np.append(starts[1:], len(symbols)), chars)
+        return cls(item_id, symbols, starts, [*starts[1:], len(symbols)], chars)
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def _keys(codes: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
@@ -103,45 +127,54 @@ def _keys(codes: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
 class SuffixArray:
     """The chosen suffixes of a text in the order of their first DEPTH symbols."""
 
-    def __init__(self, text: str, starts: np.ndarray):
-        # a symbol above 65,535 keeps its low bits; widen() compares whole symbols
-        self.codes = np.concatenate([_codes(text), np.zeros(DEPTH + 1, dtype=np.uint32)])
-        low = self.codes & 0xFFFF
-        keys = _keys(low, starts, DEPTH // 4)
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray):
+        # a symbol above 65,535 keeps its low bits; matches are compared by whole symbols later
+        self.codes = np.concatenate([symbols, np.zeros(DEPTH + 1, dtype=np.uint32)])
+        keys = _keys(self.codes & 0xFFFF, starts, DEPTH // 4)
         order = np.lexsort(keys[::-1])
         self.at = starts[order]
-        self.first = keys[0][order]
-        self.low = low
-
-    def prefix_range(self, codes: np.ndarray, least: int) -> tuple[int, int]:
-        """The suffixes that share the first `least` symbols with codes: binary search, four symbols at a step."""
-        lo, hi = 0, len(self.at)
-        for w in range(0, least, 4):
-            n = min(4, least - w)
-            key = np.uint64(0)
-            for c in codes[w : w + n]:
-                key = (key << np.uint64(16)) | np.uint64(c & 0xFFFF)
-            shift = np.uint64(16 * (4 - n))
-            low_key = key << shift
-            high_key = low_key | ((np.uint64(1) << shift) - np.uint64(1)) if n < 4 else key
-            column = self.first[lo:hi] if w == 0 else self._column(lo, hi, w)
-            lo, hi = lo + int(np.searchsorted(column, low_key, "left")), lo + int(np.searchsorted(column, high_key, "right"))
-            if lo >= hi:
-                return 0, 0
-        return lo, hi
-
-    def _column(self, lo: int, hi: int, w: int) -> np.ndarray:
-        at = self.at[lo:hi] + w
-        key = np.zeros(hi - lo, dtype=np.uint64)
-        for i in range(4):
-            key = (key << np.uint64(16)) | self.low[at + i].astype(np.uint64)
-        return key
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+        self.keys = [k[order] for k in keys[: -(-max(SEED, SEED_CHARS) // 4)]]
+
+    def prefix_ranges(self, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of symbols the range of suffixes that begin with it: binary search of all rows at once."""
+        least = prefixes.shape[1]
+        padded = np.zeros((len(prefixes), 4 * len(self.keys)), dtype=np.uint64)
+        padded[:, :least] = prefixes & 0xFFFF
+        mask = np.zeros(4 * len(self.keys), dtype=np.uint64)
+        mask[:least] = 0xFFFF
+        pack = lambda x: (x[..., 0::4] << np.uint64(48)) | (x[..., 1::4] << np.uint64(32)) | (x[..., 2::4] << np.uint64(16)) | x[..., 3::4]
+        wanted, mask = pack(padded), pack(mask)
+        return self._bound(wanted, mask, False), self._bound(wanted, mask, True)
+
+    def _bound(self, wanted: np.ndarray, mask: np.ndarray, after: bool) -> np.ndarray:
+        """The first suffix not below (after: above) each wanted prefix."""
+        lo = np.zeros(len(wanted), dtype=np.int64)
+        hi = np.full(len(wanted), len(self.at), dtype=np.int64)
+        while len(self.at) and (open_ := lo < hi).any():
+            middle = np.minimum((lo + hi) // 2, len(self.at) - 1)
+            below, equal = np.zeros(len(wanted), dtype=bool), np.ones(len(wanted), dtype=bool)
+            for w, keys in enumerate(self.keys):
+                here = keys[middle] & mask[w]
+                below |= equal & (here < wanted[:, w])
+                equal &= here == wanted[:, w]
+            forward = (below | equal if after else below) & open_
+            lo = np.where(forward, middle + 1, lo)
+            hi = np.where(~forward & open_, middle, hi)
+        return lo
+
+
+def _common(text: str, at: int, other: str, start: int) -> int:
+    """Length of the common prefix of two suffixes, by halving."""
+    lo, hi = 0, min(len(text) - at, len(other) - start)
+    if text[at : at + hi] == other[start : start + hi]:
+        return hi
+    while lo < hi:
+        middle = (lo + hi + 1) // 2
+        if text[at + lo : at + middle] == other[start + lo : start + middle]:
+            lo = middle
+        else:
+            hi = middle - 1
+    return lo
 
 
 def holds(item: Item, matches: list[tuple[int, int, int]], share: float, changed_per: int = 10) -> bool:
@@ -154,10 +187,13 @@ def holds(item: Item, matches: list[tuple[int, int, int]], share: float, changed
     gap = GAP_CHARS if item.chars else GAP
     spans = []  # first word, last word, place in the document where they begin and end
     for p, q, length in matches:
-        a = int(np.searchsorted(item.starts, q, "left"))
-        b = int(np.searchsorted(item.ends, q + length, "right")) - 1
+        a = bisect_left(item.starts, q)
+        b = bisect_right(item.ends, q + length) - 1
         if a <= b:
-            spans.append((a, b, p + int(item.starts[a]) - q, p + int(item.ends[b]) - q))
+            spans.append((a, b, p + item.starts[a] - q, p + item.ends[b] - q))
+    # a long enough run holds at least this many unchanged words
+    if sum(b - a + 1 for a, b, _, _ in spans) < share * total * (1 - 1 / changed_per):
+        return False
     spans = sorted(set(spans), key=lambda s: (s[2], s[0]))
     for i, (a, b, _, _) in enumerate(spans):
         best = {i: 0}
@@ -174,7 +210,7 @@ def holds(item: Item, matches: list[tuple[int, int, int]], share: float, changed
                     continue
                 lost, at = ak - bj - 1, sk
                 if lost < 0:  # the matches overlap in the item: the later one counts from the next word
-                    lost, at = 0, sk + int(item.starts[bj + 1] - item.starts[ak])
+                    lost, at = 0, sk + item.starts[bj + 1] - item.starts[ak]
                 between = at - ej
                 if between < 0 or between > gap * max(1, lost):
                     continue
@@ -186,23 +222,19 @@ def holds(item: Item, matches: list[tuple[int, int, int]], share: float, changed
 
 def _found_in(texts: list[str], items: list[Item], suffixes: list[tuple[int, int, np.ndarray]], share: float) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(document, item) positions whose text holds enough of the item, for one shard."""
-    symbols, starts, borders, at = [], [], [0], 0
-    for text in texts:
-        s, b = stream(text)
-        symbols.append(s + "\x00")
-        starts.append(np.array(b, dtype=np.int64) + at)
-        at += len(s) + 1
-        borders.append(at)
-    if at == len(texts):
+    symbols, starts, borders = streams(texts)
+    if not len(starts):
         return []
-    array = SuffixArray("".join(symbols), np.concatenate(starts))
-    borders = np.array(borders)
+    array = SuffixArray(symbols, starts)
+    whole = symbols.tobytes().decode("utf-32-le", "surrogatepass")
     matches: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int, int]]] = {}
-    for i, q, codes in suffixes:
-        least = SEED_CHARS if items[i].chars else SEED
-        if len(codes) < least:
-            continue
-        lo, hi = array.prefix_range(codes, least)
+    hits = []
+    for least in (SEED, SEED_CHARS):
+        mine = [s for s in suffixes if (SEED_CHARS if items[s[0]].chars else SEED) == least and len(s[2]) >= least]
+        if mine:
+            los, his = array.prefix_ranges(np.stack([codes[:least] for _, _, codes in mine]))
+            hits += [(*mine[k], los[k], his[k], least) for k in np.flatnonzero(los < his)]
+    for i, q, codes, lo, hi, least in hits:
         for p in array.at[lo:hi]:
             p = int(p)
             doc = int(np.searchsorted(borders, p, "right")) - 1
@@ -211,7 +243,7 @@ def _found_in(texts: list[str], items: list[Item], suffixes: list[tuple[int, int
             known = found.get((p - q, -1))
             if known and known[1] <= q < known[1] + known[2]:
                 continue
-            length = _common(array.codes[p : p + len(codes)], codes)
+            length = _common(whole, p, items[i].text, q)
             if length >= least:
                 m = (p, q, length)
                 found[(p - q, -1)] = m
