@@ -171,11 +171,11 @@ def test_leaks_by_brute_force_cases(spark):
 def test_suffix_array_finds_every_prefix():
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(3000))
-    array = leaks.SuffixArray(text, np.arange(len(text)))
+    array = leaks.SuffixArray(leaks._codes(text), np.arange(len(text)))
     for _ in range(100):
         at = rng.randrange(2980)
         probe = text[at : at + 9] if rng.random() < 0.8 else "".join(rng.choice("abc") for _ in range(9))
-        lo, hi = array.prefix_range(leaks._codes(probe), 9)
+        lo, hi = (int(x[0]) for x in array.prefix_ranges(leaks._codes(probe)[None, :]))
         assert sorted(array.at[lo:hi].tolist()) == [m.start() for m in re.finditer(f"(?={probe})", text)]
 
 
@@ -243,3 +243,23 @@ def test_queries_have_sql_or_none():
 
     assert set(plans.ORACLE) <= set(plans.QUERIES) and {f"p{n}_found" for n in (2, 4, 5, 6, 7, 9, 10)} <= set(plans.QUERIES)
     assert json.dumps(sorted(plans.QUERIES))
+
+
+def test_both_programs_agree():
+    rng = random.Random(8)
+    for _ in range(50):
+        n = rng.randint(2, 30)
+        cuts = sorted(rng.sample(range(1, 2000), 2 * n))
+        ends, starts = cuts[1::2], [0, *[c + 1 for c in cuts[1::2]][:-1]]
+        args = (starts, ends, [0.0, *[rng.uniform(-5, 2) for _ in range(n - 1)]], [*[rng.uniform(-5, 3) for _ in range(n - 1)], 0.0], [0, *[rng.randint(0, 1) for _ in range(n - 1)], 0])
+        assert sentences._few(*args) == sentences._many(*args)
+
+
+def test_streams_of_many_texts_equal_each_alone():
+    texts = ["Pd@ZnO, 2.8\tg", "", "丝线绑住Co3O4 硬壳。9", "ｆｕｌｌ ﬁne Straße ÉCOLE", "a\0b", "_-_", "मि.ग्रा. 5", "x" * 50]
+    symbols, starts, borders = leaks.streams(texts)
+    for i, t in enumerate(texts):
+        one, begins = leaks.stream(t)
+        part = symbols[borders[i] : borders[i + 1] - 1]
+        assert "".join(map(chr, part)) == one
+        assert [int(s) - borders[i] for s in starts if borders[i] <= s < borders[i + 1]] == begins
