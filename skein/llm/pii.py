@@ -143,6 +143,13 @@ def _overlapping(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
 _SCRIPTS = {"cyrillic": re.compile("[А-ЯЁ]"), "han": re.compile("[一-鿿]"), "devanagari": re.compile("[ऀ-ॿ]")}
 #: What a pattern can't match without: a script, or a character.
 _NEEDS = {k: "cyrillic" for k in [*NAMES, *ADDRESSES] if k.startswith("cyrillic") or k == "ru"} | {"han": "han", "kanji": "han", "zh": "号", "ja": "〒", "hindi": "devanagari", "hi": "devanagari"}
+#: Where names in scripts with letter case may begin: two capitals with at most the rest of a word between them.
+_TWO_CAPITALS = re.compile(r"(?=[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[\w’'-]*,?\s|\.\s?)[A-ZÀ-ÖØ-ÞА-ЯЁ])")
+_UNCASED = ["han", "kanji", "hindi"]
+_CASED = [n for n in NAMES if n not in _UNCASED]
+_SPELLED_AT = re.compile(r"[\[({]\s?at\s?[\])}]|\sat\s[\w-]+\s?[\[(]?dot", re.I)
+#: The code and place that an address can't do without.
+_POSTAL = {"en": re.compile(_POST), "de": re.compile(r",\s+(?:D-)?\d{5}\s[A-ZÄÖÜ]"), "fr": re.compile(r",\s+(?:F-)?\d{5}\s[A-ZÀ-Ý]")}
 _SIX_DIGITS = re.compile(r"\d(?:[ ().\-/（）№]{0,3}\d){5}")
 
 
@@ -157,11 +164,15 @@ def proposals(text: str) -> list[Span]:
     """start, end, type, format: every span that may be personal information, with overlaps."""
     out: list[Span] = []
     able = _able(text)
-    if "@" in text or "＠" in text or "at" in text or "AT" in text:
+    if "@" in text or "＠" in text or _SPELLED_AT.search(text):
         out += [(m.start(), m.end(), "email", "email") for m in EMAIL.finditer(text)]
-    for name, pattern in NAMES.items():
-        if name not in _NEEDS or _NEEDS[name] in able:
-            out += [(m.start(), m.end(), "person", name) for m in _overlapping(pattern, text)]
+    for m in _TWO_CAPITALS.finditer(text):
+        for name in _CASED:
+            if n := NAMES[name].match(text, m.start()):
+                out.append((n.start(), n.end(), "person", name))
+    for name in _UNCASED:
+        if _NEEDS[name] in able:
+            out += [(m.start(), m.end(), "person", name) for m in _overlapping(NAMES[name], text)]
     if _SIX_DIGITS.search(text):
         numbers: set[tuple[int, int, str]] = set()
         for kind, table in (("phone", PHONES), ("id_number", IDS)):
@@ -173,7 +184,7 @@ def proposals(text: str) -> list[Span]:
             if 9 <= sum(c.isdigit() for c in m.group()) <= 18:
                 out += [(m.start(), m.end(), kind, "run") for kind in ("phone", "id_number") if (m.start(), m.end(), kind) not in numbers]
     for name, pattern in ADDRESSES.items():
-        if name not in _NEEDS or _NEEDS[name] in able:
+        if (_NEEDS[name] in able) if name in _NEEDS else _POSTAL[name].search(text):
             out += [(m.start(), m.end(), "address", name) for m in pattern.finditer(text)]
     return out
 
