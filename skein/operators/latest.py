@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row for each key: the one with the greatest order values, later columns breaking ties.
+    """One row for each key: the one with the greatest order values, later columns breaking ties; nulls are smallest.
 
-    Built as an aggregation with max_by over the whole row, so a key with many rows is combined before the shuffle and
-    never sorted in one task. Rows equal in all order values are tied; any of them may come, so give a full order.
+    A row number with a limit of one: the limit is also applied before the shuffle, and columns that aren't used later
+    are never read, which an aggregation over whole rows would not allow. Rows equal in all order values are tied; any of
+    them may come, so give a full order.
     """
-    row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
-    picked = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*df.columns)
-
-
-def first_seen(df: DataFrame, keys: list[str], order: Column, name: str = "first_seen") -> DataFrame:
-    """keys and the smallest value of order for each."""
-    return df.groupBy(*keys).agg(F.min(order).alias(name))
+    w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
+    return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
