@@ -333,7 +333,7 @@ _CONTEXTS = {
     "ja": ["発明者 {person}（{id}）、住所 {address}。", "連絡先：{person}、電話 {phone}、{email} 。"],
     "hi": ["संपर्क: {person}, {address}, फ़ोन {phone}।", "मापन {person} ने किया ({email}), {id}।"],
 }
-#: Sentences that only look personal; # stands for a digit, {N} for a made-up name, {C} for a place-like word.
+#: Sentences that only look personal; # stands for a digit, {N} for a made-up name, {L} and {C} for made-up words in capitals.
 _DECOYS = [
     "The {N} isotherm and a {N}-type stage of ### mm were assumed.", "Grant ###-###-#### and the {N} barrier model were applied.", "Run 20##-04-16 09:48:08 was logged as lot ###-##-####.", "Data set doi:10.#####/sens.##### was used.",
     "See EP 0 ### ### B1 and application 2003-###### for the housing.", "The salt (CAS ####-##-#) was dried.", "A Pd@ZnO core and 10ppm@300 setting gave ####### counts.", "Units Na-###, Vn-### and Lt-## were supplied by {N} Instruments Inc. in 2021.",
@@ -341,7 +341,7 @@ _DECOYS = [
     "If the Film is heated above ### °C, its Surface Area is lost.", "Claim ## covers a Sensor, Heater and Housing.", "The U.S. filing lists ## embodiments.", "Die Probe aus ZnO wurde durch Tauchbeschichtung hergestellt.", "Geeignete Oxide, z. B. V2O5 bzw. CuO, sind in Abb. ## gezeigt.", "Alle Oxide, z. B. Zink, d. h. {N}, u. A. Eisen, sind rein.",
     "Am 25. Oktober wurde die Membran Rk-### ausgetauscht.", "Sensor nach Anspruch ##, wobei Schicht und Folie aus ZnO bestehen.", "La notice indique « Ne pas chauffer. Garder au sec. » sur la pastille.", "Certains oxydes, p. ex. LaFeO3 ou Co3O4, sont décrits.",
     "Как видно на рис. ##, Пористость Образца Ba-### возросла.", "Датчик по п. ##, отличающийся тем, что Подложка содержит NiO.", "Эксперт указал: «Ячейка Vk-### треснула. Её заменили.»", "采用溶胶凝胶法制备的加热器（编号Gd-###）对氢气的灵敏度为1.9。", "筐体には「加熱しないこと。」と記されている（番号Hb-###）。",
-    "चित्र ##.## में नमूने Lr-### की संवेदनशीलता है।", "READ THE PASSAGE AND CHOOSE THE BEST ANSWER.", "KEEP DRY, DO NOT HEAT.", "Results And Discussion", "Model Dg-### beat model Nv-### by # laps.", "{N} Materials Corp. and {N} GmbH delivered the parts.",
+    "चित्र ##.## में नमूने Lr-### की संवेदनशीलता है।", "READ THE PASSAGE AND CHOOSE THE BEST ANSWER.", "{C} {C} ### {C} ZNO {C}, ГДЕ {C} {C}.", "{C} {C}, {C} ## ИЗ ### {C} {C}.", "{L} {L} ## OF THE {L} {L}, AND THE {L} {L} ###.", "{L} {L} # {L} {L}.", "KEEP DRY, DO NOT HEAT.", "Results And Discussion", "Model Dg-### beat model Nv-### by # laps.", "{N} Materials Corp. and {N} GmbH delivered the parts.",
     "It was left at ### K. Compared with {N} oxide it held.", "At ### V. Operating limits apply; ## A. Exposure to ozone was short.", "Vitamin C. Common additives were used.", "A dial read ## K. Between tests it fell, ### K. In contrast to others.", "Patent US #,###,### B2 and WO 20##/###### are cited.", "Batch ####-####-## was milled, Lot ######## followed.",
 ]
 
@@ -355,7 +355,8 @@ def labelled_sentences(n: int = TRAINING_SENTENCES, seed: int = 20) -> list[tupl
         text, truth = "", set()
         for _ in range(rng.randint(1, 3)):
             if rng.random() < 0.5:
-                sentence = re.sub(r"\{N\}", lambda m: _name(rng, 2), _digits(rng, rng.choice(_DECOYS)))
+                made = {"N": lambda: _name(rng, 2), "L": lambda: _name(rng, 2).upper(), "C": lambda: _cyr(rng, rng.choice(["", "ил", "ов", "ин"])).upper()}
+                sentence = re.sub(r"\{([NLC])\}", lambda m: made[m.group(1)](), _digits(rng, rng.choice(_DECOYS)))
                 text += sentence
             else:
                 for part in re.split(r"(\{\w+\})", rng.choice(_CONTEXTS[lang])):
