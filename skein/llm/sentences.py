@@ -50,6 +50,7 @@ _BLANK_LINE = re.compile(r"\r?\n[^\S\r\n]*\r?\n\s*|\x0c+| +")
 _ENDS = re.compile(rf"[{re.escape(END)}]+")
 _TOKEN = re.compile(r"\S*$")
 _MIXED_START = re.compile(r"^[a-zα-ω]{1,2}-?[A-Z]")
+_LAST_PART = re.compile(r"[^.!?…]*$")
 _NUMBER = re.compile(r"^\(?\d{1,3}$")
 _AMOUNT = re.compile(r"(?:^|[\s(])\d[\d.,]*\s*$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
@@ -109,9 +110,9 @@ def _closing_score(block: str, mark: int, end: int) -> float:
         return 2.0  # a unit behind its number
     if core in NEVER_LAST or core.split("-")[-1] in ("bzw",):
         return -8.0
-    head, _, last = core.rpartition(".")
-    if len(head) > 2 and last in NEVER_LAST and len(last) > 1:
-        return -8.0
+    last = _LAST_PART.search(core).group()
+    if len(core) > len(last) > 1 and last in NEVER_LAST:
+        return -8.0  # glued to the sentence before
     if core in MAY_BE_LAST:
         return 0.5
     tail = core.rsplit(".", 1)[-1]
