@@ -68,13 +68,13 @@ def quantiles_linear(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("SELECT event_type, round(quantile_disc(value, 0.95), 6) AS p95, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type")
-def p95_nearest(spark: SparkSession, folder: str) -> DataFrame:
+def nearest_p95(spark: SparkSession, folder: str) -> DataFrame:
     """The value at place ceil(0.95 n)."""
     return table(spark, folder, "events").where("value is not null").groupBy("event_type").agg(F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)"), 6).alias("p95"), F.count("*").alias("n"))
 
 
 @register("WITH l AS (SELECT indexer_version, list_sort(list(extraction_seconds)) AS v FROM graph_index_results WHERE extraction_seconds IS NOT NULL GROUP BY 1) SELECT indexer_version, round(v[floor((len(v) - 1) * 0.95)::BIGINT + 1], 6) AS p95_truncated, round(v[greatest(0, floor(len(v) * 0.95)::BIGINT - 1) + 1], 6) AS p95_floor FROM l")
-def p95_by_place(spark: SparkSession, folder: str) -> DataFrame:
+def quantiles_by_place(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "graph_index_results").where("extraction_seconds is not null")
     return r.groupBy("indexer_version").agg(F.round(measures.truncated_quantile(F.col("extraction_seconds"), 0.95), 6).alias("p95_truncated"), F.round(measures.floor_quantile(F.col("extraction_seconds"), 0.95), 6).alias("p95_floor"))
 

@@ -38,7 +38,41 @@ SELECT DISTINCT record_table, field_name, record_id, strftime(t,'%Y-%m') AS peri
 WHERE j.k IS NOT NULL AND NOT coalesce(p.seen <= t AND (p.gone IS NULL OR p.gone > t), false)
 """
 
+
+
+def _p3() -> str:
+    """The same parsing in SQL, over integers of 12 decimals; the conversions are listed as values."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    blanks = "".join(map(chr, [0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000]))
+    values = ", ".join(f"({quote(s)}, {str(f).lower()}, {quote(d)}, {m}::HUGEINT, {b}::HUGEINT, {q}::HUGEINT)" for s, f, d, m, b, q in units.conversion_rows())
+    words = ", ".join(f"({quote(w)}, {quote(str(n))})" for w, n in units.NUMBER_WORDS.items())
+    any_word = "|".join(sorted(units.NUMBER_WORDS, key=lambda w: -len(w)))
+
+    def plain(x: str) -> str:
+        x = f"replace(replace({x}, '℃', '°C'), '℉', '°F')"
+        x = rf"regexp_replace({x}, '10\s*([⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹])', '10^\1', 'g')"
+        x = f"translate({x}, {quote('⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺−' + blanks + 'μΩÅK％’')}, {quote('0123456789-+-' + ' ' * len(blanks) + 'µΩÅK%' + chr(39))})"
+        return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+    pattern = quote(units.QUANTITY)
+    number = lambda t: rf"""(TRY_CAST(replace(translate(regexp_extract({t}, {pattern}, 2), ' ''+', ''), ',', '.') || coalesce('e' || nullif(regexp_extract(regexp_extract({t}, {pattern}, 3), '([-+]?\d+)$', 1), ''), '') AS DECIMAL(38, 12)) * 1000000000000::HUGEINT)::HUGEINT"""
+    unit = lambda t: f"trim(regexp_extract({t}, {pattern}, 4))"
+    return rf"""
+    WITH k(spelling, folded, dimension, multiplier, plus, divisor) AS (VALUES {values}), w(word, digits) AS (VALUES {words}),
+    a AS (SELECT DISTINCT assertion_id, raw_text, raw_value, unit, qualifier_type FROM annotations),
+    b AS (SELECT assertion_id, upper(trim(qualifier_type)) AS q, {plain("raw_text")} AS t0, {plain("raw_value")} AS v, {plain("unit")} AS u FROM a),
+    c AS (SELECT b.*, CASE WHEN NOT regexp_matches(t0, '\d') AND w.digits IS NOT NULL THEN w.digits || regexp_extract(t0, '(?i)(?:^|[\s~≈:])(?:{any_word})(\s.*)$', 1) ELSE t0 END AS t
+      FROM b LEFT JOIN w ON lower(regexp_extract(t0, '(?i)(?:^|[\s~≈:])({any_word})\s', 1)) = w.word),
+    n AS (SELECT assertion_id, q, u, {number("t")} AS tn, {unit("t")} AS tu, {number("v")} AS vn, {unit("v")} AS vu FROM c),
+    o AS (SELECT assertion_id, q, unnest([{{'r': 0, 'n': tn, 'name': tu}}, {{'r': 1, 'n': vn, 'name': vu}}, {{'r': 2, 'n': CASE WHEN vu = '' THEN vn END, 'name': u}}, {{'r': 3, 'n': CASE WHEN tu = '' THEN tn END, 'name': u}}]) AS x FROM n),
+    m AS (SELECT o.assertion_id, o.q, x.r, x.n, k.* FROM o JOIN k ON (NOT k.folded AND x.name = k.spelling) OR (k.folded AND lower(x.name) = k.spelling AND x.name NOT IN (SELECT spelling FROM k WHERE NOT folded)) WHERE x.n IS NOT NULL),
+    f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY assertion_id ORDER BY r) = 1)
+    SELECT DISTINCT assertion_id, dimension, ((n * multiplier + plus * 1000000000000 + divisor * 500000000000) // (divisor * 1000000000000))::BIGINT AS base_value
+    FROM f WHERE NOT coalesce(q = 'HUMIDITY' AND spelling IN ('%', 'percent', 'per cent', 'prozent'), false)"""
+
+
 ORACLE = {
+    "p3_found": _p3(),
     "p1_found": _P1,
     "p1_report": f"SELECT record_table, field_name, period, count(*) AS orphans FROM ({_P1}) GROUP BY ALL",
 }
