@@ -38,10 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str, least: int | None = None) -> DataFrame:
     """Rows dealt over enough tasks for a CPU-bound step, if the scan gives too few of them.
 
-    A scan of a large table has many splits already and stays as it is; a small or badly split one is dealt by the
-    hash of its keys, which is stable when a task is repeated.
+    For scans only: the number of tasks of a plan with a shuffle is known after it ran. A scan of a large table has many
+    splits already and stays as it is; a small or badly split one is dealt by the hash of its keys, which is stable when
+    a task is repeated.
     """
     want = least or 3 * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the hash of their keys over enough tasks for a CPU-bound step, in a number that adaptive execution
+    keeps; a later grouping by the keys needs no further shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
