@@ -117,9 +117,11 @@ def test_scripts_without_blanks_and_edges():
 
 
 def test_sentence_table(spark):
-    df = spark.createDataFrame([("a", "One. Two.", 1), ("a", "One. Two.", 2), ("b", None, 1), (None, "X.", 1), ("c", "x" * 200_000, 1)], "id string, text string, start_offset int")
-    got = {tuple(r) for r in sentences.sentence_units(df, "id", "text").collect()}
-    assert got == {("a", 0, 4), ("a", 5, 9), ("c", 0, 200_000)}
+    df = spark.createDataFrame([("a", "One. Two.", 1), ("a", "One. Two.", 2), ("b", None, 1), (None, "X.", 1), ("c", "x" * 200_000, 1), ("d", "One. Two.", 1), ("d", "One. Three.", 1)], "id string, text string, start_offset int")
+    rows = sentences.sentence_units(df, "id", "text").collect()
+    got = {tuple(r) for r in rows}
+    assert len(rows) == len(got)
+    assert got == {("a", 0, 4), ("a", 5, 9), ("c", 0, 200_000), ("d", 0, 4), ("d", 5, 9), ("d", 5, 11)}
     assert sentences.sentence_units(df.limit(0), "id", "text").count() == 0
 
 
