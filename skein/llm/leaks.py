@@ -4,20 +4,21 @@ Texts become streams of letters and digits: compatibility forms, case, punctuati
 the places where words began are kept. Words of an item are its blank-separated words; Chinese items count single
 characters.
 
-Method. Every shard of the corpus (an Arrow batch of whole documents) gets a suffix array over the places where words, or
-Chinese and Japanese characters, begin, ordered by their first DEPTH symbols. Every suffix of every item that begins a word
-is searched in it by binary search, all at once; each hit is widened to its longest verbatim match. An exact check then
-chains the matches of one document and one item: between two matches the item's words must be replaced by about as much
-text, each replaced word counts as changed, and a run counts if at most one word in ten is changed and it holds at least
-the given share of the item's words.
-
-A run with at most one change in ten has SEED_WORDS unchanged words in a row, so a common prefix of SEED symbols is enough
-for a hit and none is lost. Items go to the tasks in blocks of at most ITEM_BLOCK rows, whose size is therefore bounded;
-the corpus is only scanned, never shuffled.
+Method. Every shard of the corpus (an Arrow batch of whole documents) gets a suffix array over all its symbols, ordered by
+their first DEPTH symbols. Every suffix of every item that begins a word is searched in it by binary search, all at once;
+each hit is widened to its longest verbatim match. Matches only say where a run may lie. From each the item is then aligned
+with the text on both sides, word by word, a changed word against the one word in its place; where the alignment meets
+another match, about as much text may stand in between. A run counts if at most one word in ten is changed and it holds at
+least the given share of the item's words.
+
+A run with at most one change in ten has Item.least unchanged words in a row, so the first SEED symbols of as many words
+are enough for a hit and none is lost. Items go to the tasks in blocks of at most ITEM_BLOCK rows, whose size is therefore
+bounded; the corpus is only scanned, never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
@@ -34,19 +35,22 @@ from skein.session import spread
 
 #: Items in one pass over the corpus.
 ITEM_BLOCK = 20_000
-#: Symbols by which suffixes are ordered, four to an integer.
-DEPTH = 32
-#: Least common prefix of a hit, for items of words and of Chinese characters.
+#: Symbols by which suffixes are ordered, four to an integer: no seed has more.
+DEPTH = 12
+#: Common prefix of a hit, for items of words and of Chinese characters; less where the words of a seed have less.
 SEED, SEED_CHARS = 12, 7
-#: Symbols of text that may stand in the place of one changed word, of one changed character.
+#: Symbols of text that may stand before a match in the place of one changed word, of one changed character.
 GAP, GAP_CHARS = 40, 3
+#: One word in so many may be changed.
+CHANGED_PER = 10
 #: Symbols of corpus text that one suffix array covers.
-SHARD = 8_000_000
+SHARD = 2_000_000
 
 _ALONE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
 _OTHER = re.compile(r"[\W_]+")
+_HYPHENS, _BREAKS = [ord(c) for c in "-\u00ad\u2010"], [ord(c) for c in "\n\r\u2028"]
 
 
 def stream(text: str) -> tuple[str, list[int]]:
@@ -77,6 +81,15 @@ def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def streams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The streams of many texts behind each other, each closed by a 0: (symbols, the places where words begin, the place behind each text)."""
+    return _streams(texts)[:3]
+
+
+def _streams(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """What streams gives, the places that surely divide words, and by place whether a word may begin or end there.
+
+    A line break behind a hyphen need not divide words; dropped punctuation may. A word of more than GAP symbols has lost
+    its spacing, so words may begin and end anywhere in it.
+    """
     whole = "\0".join(t.replace("\0", "\x01") for t in texts) + "\0"
     if not whole.isascii():
         whole = unicodedata.normalize("NFKC", whole).casefold()
@@ -89,7 +102,16 @@ def streams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     single, closing = alone[symbols], border[kept]
     starts = np.ones(len(symbols), dtype=bool)
     starts[1:] = (gaps[1:] != gaps[:-1]) | single[1:] | single[:-1] | closing[:-1]
-    return symbols, np.flatnonzero(starts & ~closing), np.concatenate([[0], np.flatnonzero(closing) + 1])
+    broken = np.zeros(len(symbols), dtype=bool)
+    behind = np.concatenate([codes, [0, 0]])
+    broken[1:] = np.isin(behind[kept[:-1] + 1], _HYPHENS) & np.isin(behind[kept[:-1] + 2], _BREAKS) & ~closing[:-1]
+    hard = np.flatnonzero(starts & ~broken | closing)
+    free = starts | closing
+    free[1:] |= kept[1:] - kept[:-1] > 1
+    sure = np.flatnonzero(free)
+    for k in np.flatnonzero(np.diff(sure) > GAP):
+        free[sure[k] : sure[k + 1]] = True
+    return symbols, np.flatnonzero(starts & ~closing), np.concatenate([[0], np.flatnonzero(closing) + 1]), hard, free
 
 
 @dataclass
@@ -108,6 +130,22 @@ class Item:
             starts = list(range(len(symbols)))
         return cls(item_id, symbols, starts, [*starts[1:], len(symbols)], chars)
 
+    def least(self, share: float) -> int:
+        """Unchanged words in a row that every long enough run has, wherever its changes are."""
+        total = len(self.starts)
+        runs = range(max(1, _needed(total, share)), total + 1)
+        return min((-(-(n - n // CHANGED_PER) // (n // CHANGED_PER + 1)) for n in runs), default=total + 1)
+
+    def seeds(self, share: float) -> list[tuple[int, int]]:
+        """(place, symbols) of the prefixes one of which is in every long enough run."""
+        least, most = self.least(share), SEED_CHARS if self.chars else SEED
+        return [(q, min(most, self.ends[k + least - 1] - q)) for k, q in enumerate(self.starts[: len(self.starts) - least + 1])]
+
+
+def _needed(total: int, share: float) -> int:
+    """The fewest of so many words that are the share."""
+    return math.ceil(share * total - 1e-9)
+
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -177,80 +215,159 @@ def _common(text: str, at: int, other: str, start: int) -> int:
     return lo
 
 
-def holds(item: Item, matches: list[tuple[int, int, int]], share: float, changed_per: int = 10) -> bool:
-    """Whether chained verbatim matches (place in the document, place in the item, length) make up a long enough run.
+@dataclass
+class Page:
+    """One document of a shard as items are aligned with it."""
+
+    text: str  # the symbols of the shard
+    begin: int
+    end: int
+    hard: list[int]  # places in it that divide words
+    free: list[int]  # places where words may begin or end
+    chars: bool
 
-    A run starts and ends with unchanged words. Its words that no match covers are changed words; at most one of
-    changed_per may be. Text in the document without a counterpart in the item counts as one change.
-    """
-    total = len(item.starts)
-    gap = GAP_CHARS if item.chars else GAP
-    spans = []  # first word, last word, place in the document where they begin and end
+    def __post_init__(self) -> None:
+        self.may = set(self.free)
+
+    def divides(self, at: int) -> bool:
+        return self.chars or at in self.may
+
+    def beyond(self, at: int, step: int) -> list[int]:
+        """Places where the word that begins (step -1: ends) here may be over."""
+        if at == (self.end if step > 0 else self.begin):
+            return []
+        if self.chars:
+            return [at + step]
+        if step > 0:
+            k, h = bisect_right(self.free, at), bisect_right(self.hard, at)
+            last = min(self.hard[h] if h < len(self.hard) else self.end, at + GAP)
+            return self.free[k : bisect_right(self.free, last)]
+        k, h = bisect_left(self.free, at), bisect_left(self.hard, at)
+        last = max(self.hard[h - 1] if h else self.begin, at - GAP)
+        return self.free[bisect_left(self.free, last) : k]
+
+
+def _spans(item: Item, page: Page, matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int, int, bool]]:
+    """The whole words of verbatim matches (place in the document, place in the item, length): first and last word, where
+    they begin and end in the document, and whether they may be the seed of a run."""
+    out = set()
     for p, q, length in matches:
         a = bisect_left(item.starts, q)
         b = bisect_right(item.ends, q + length) - 1
+        seed = b - a + 1 >= least
+        place = lambda at: p + at - q
+        # a word that goes on in the document is another word, unless the spacing is lost on its other side, too
+        if a <= b and not page.divides(place(item.ends[b])) and page.divides(place(item.starts[b])):
+            b -= 1
+        if a <= b and not page.divides(place(item.starts[a])) and page.divides(place(item.ends[a])):
+            a += 1
         if a <= b:
-            spans.append((a, b, p + item.starts[a] - q, p + item.ends[b] - q))
-    # a long enough run holds at least this many unchanged words
-    if sum(b - a + 1 for a, b, _, _ in spans) < share * total * (1 - 1 / changed_per):
-        return False
-    spans = sorted(set(spans), key=lambda s: (s[2], s[0]))
-    for i, (a, b, _, _) in enumerate(spans):
-        best = {i: 0}
-        for j in range(i, len(spans)):
-            if j not in best:
+            out.add((a, b, place(item.starts[a]), place(item.ends[b]), seed))
+    return sorted(out, key=lambda s: (s[2], s[0]))
+
+
+def _reach(item: Item, page: Page, spans: list[tuple[int, int, int, int, bool]], word: int, place: int, step: int) -> dict[int, int]:
+    """The most words that a run gains behind a word border (step -1: before it), by number of changes; its last is unchanged."""
+    words = len(item.starts) - word if step > 0 else word
+    most, gap = len(item.starts) // CHANGED_PER, GAP_CHARS if item.chars else GAP
+    if step > 0:
+        jumps = [(a - word, b + 1 - word, begin, end) for a, b, begin, end, _ in spans if b >= word and end > place]
+    else:
+        jumps = [(word - 1 - b, word - a, end, begin) for a, b, begin, end, _ in spans if a < word and begin < place]
+    gained, at = {0: 0}, {0: {place: 0}}
+
+    def reached(t: int, p: int, cost: int) -> None:
+        known = at.setdefault(t, {})
+        if cost < known.get(p, most + 1):
+            known[p] = cost
+
+    for t in range(words):
+        k = word + t if step > 0 else word - 1 - t
+        first, last = item.starts[k], item.ends[k]
+        wanted = item.text[first:last]
+        for p, cost in at.pop(t, {}).items():
+            e = p + step * len(wanted)
+            if page.begin <= e <= page.end and page.text.startswith(wanted, min(p, e)) and page.divides(e):
+                reached(t + 1, e, cost)
+                gained[cost] = max(gained.get(cost, 0), t + 1)
+            if cost == most:
                 continue
-            _, bj, _, ej = spans[j]
-            n = bj - a + 1
-            if n >= share * total and best[j] * changed_per <= n:
-                return True
-            for k in range(j + 1, len(spans)):
-                ak, bk, sk, _ = spans[k]
-                if bk <= bj:
-                    continue
-                lost, at = ak - bj - 1, sk
-                if lost < 0:  # the matches overlap in the item: the later one counts from the next word
-                    lost, at = 0, sk + item.starts[bj + 1] - item.starts[ak]
-                between = at - ej
-                if between < 0 or between > gap * max(1, lost):
+            for e in page.beyond(p, step):
+                reached(t + 1, e, cost + 1)
+            for begins, ends, near, far in jumps:
+                if ends <= t:
                     continue
-                cost = best[j] + (lost if lost else int(between > 0))
-                if cost < best.get(k, 1 << 30):
-                    best[k] = cost
+                lost = max(0, begins - t)
+                if begins < t:  # the match counts from the next word
+                    near += first - item.starts[word + begins] if step > 0 else last - item.ends[word - 1 - begins]
+                between = step * (near - p)
+                if (lost or between) and 0 <= between <= gap * max(1, lost) and cost + max(1, lost) <= most:
+                    reached(ends, far, cost + max(1, lost))
+                    gained[cost + max(1, lost)] = max(gained.get(cost + max(1, lost), 0), ends)
+    return gained
+
+
+def holds(item: Item, page: Page, matches: list[tuple[int, int, int]], share: float) -> bool:
+    """Whether a long enough run lies around one of the verbatim matches (place in the document, place in the item, length).
+
+    A run starts and ends with unchanged words; at most one of CHANGED_PER of its words may be changed. A word is changed
+    if another single word stands in its place. Before a match any text of up to GAP symbols for each changed word may
+    stand in their place, and text in the document without a counterpart in the item counts as one change.
+    """
+    needed = max(1, _needed(len(item.starts), share))
+    spans = _spans(item, page, matches, item.least(share))
+    for a, b, begin, end, seed in spans:
+        if not seed:
+            continue
+        if b - a + 1 >= needed:
+            return True
+        behind, before = _reach(item, page, spans, b + 1, end, 1), _reach(item, page, spans, a, begin, -1)
+        for c, n in behind.items():
+            for d, m in before.items():
+                run = b - a + 1 + n + m
+                if run >= needed and (c + d) * CHANGED_PER <= run:
+                    return True
     return False
 
 
-def _found_in(texts: list[str], items: list[Item], suffixes: list[tuple[int, int, np.ndarray]], share: float) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def _found_in(texts: list[str], items: list[Item], seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], share: float) -> list[tuple[int, int]]:
     """(document, item) positions whose text holds enough of the item, for one shard."""
-    symbols, starts, borders = streams(texts)
-    if not len(starts):
+    symbols, _, borders, hard, free = _streams(texts)
+    places = np.flatnonzero(symbols)
+    if not len(places):
         return []
-    array = SuffixArray(symbols, starts)
+    array = SuffixArray(symbols, places)
     whole = symbols.tobytes().decode("utf-32-le", "surrogatepass")
-    matches: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int, int]]] = {}
     hits = []
-    for least in (SEED, SEED_CHARS):
-        mine = [s for s in suffixes if (SEED_CHARS if items[s[0]].chars else SEED) == least and len(s[2]) >= least]
-        if mine:
-            los, his = array.prefix_ranges(np.stack([codes[:least] for _, _, codes in mine]))
-            hits += [(*mine[k], los[k], his[k], least) for k in np.flatnonzero(los < his)]
-    for i, q, codes, lo, hi, least in hits:
-        for p in array.at[lo:hi]:
-            p = int(p)
+    for least, (which, at, prefixes) in seeds.items():
+        los, his = array.prefix_ranges(prefixes)
+        hits += [(which[k], at[k], los[k], his[k], least) for k in np.flatnonzero(los < his)]
+    matches: dict[tuple[int, int], dict[int, list[tuple[int, int, int]]]] = {}
+    for i, q, lo, hi, least in sorted((int(i), int(q), lo, hi, least) for i, q, lo, hi, least in hits):
+        for p in array.at[lo:hi].tolist():
             doc = int(np.searchsorted(borders, p, "right")) - 1
-            found = matches.setdefault((doc, i), {})
+            found = matches.setdefault((doc, i), {}).setdefault(p - q, [])
             # a match that lies in a longer one on the same diagonal was widened already
-            known = found.get((p - q, -1))
-            if known and known[1] <= q < known[1] + known[2]:
+            if found and q < found[-1][1] + found[-1][2]:
                 continue
             length = _common(whole, p, items[i].text, q)
             if length >= least:
-                m = (p, q, length)
-                found[(p - q, -1)] = m
-                found[(p, q)] = m
+                found.append((p, q, length))
     out = []
     for (doc, i), found in matches.items():
-        if holds(items[i], list(set(found.values())), share):
+        begin, end = int(borders[doc]), int(borders[doc + 1]) - 1
+        near = [m for diagonal in found.values() for m in diagonal]
+        if not near:
+            continue
+        if items[i].chars:
+            page = Page(whole, begin, end, [], [], True)
+        else:
+            # no run reaches farther from a match than its words and gaps
+            reach = len(items[i].text) + GAP * (len(items[i].starts) + 1)
+            first, last = max(begin, min(m[0] for m in near) - reach), min(end, max(m[0] + m[2] for m in near) + reach)
+            inside = hard[np.searchsorted(hard, first) : np.searchsorted(hard, last, "right")]
+            page = Page(whole, first, last, inside.tolist(), (np.flatnonzero(free[first : last + 1]) + first).tolist(), False)
+        if holds(items[i], page, near, share):
             out.append((doc, i))
     return out
 
@@ -278,17 +395,19 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
 
 def _searcher(items: list[Item], share: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        suffixes = []
+        sized: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         for i, item in enumerate(items):
             codes = _codes(item.text)
-            suffixes += [(i, int(q), codes[q:]) for q in item.starts]
+            for q, least in item.seeds(share):
+                sized.setdefault(least, []).append((i, q, codes[q : q + least]))
+        seeds = {least: (np.array([i for i, _, _ in s]), np.array([q for _, q, _ in s]), np.stack([c for _, _, c in s])) for least, s in sized.items()}
         for batch in batches:
             texts, ids = batch["t"].tolist(), batch["d"].tolist()
             first, size = 0, 0
             for last, text in enumerate(texts):
                 size += len(text)
                 if size >= SHARD or last == len(texts) - 1:
-                    hits = _found_in(texts[first : last + 1], items, suffixes, share)
+                    hits = _found_in(texts[first : last + 1], items, seeds, share)
                     if hits:
                         yield pd.DataFrame({"doc": [ids[first + d] for d, _ in hits], "item": [items[i].item_id for _, i in hits]})
                     first, size = last + 1, 0

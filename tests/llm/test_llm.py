@@ -170,6 +170,32 @@ def test_leaks_by_brute_force_cases(spark):
     assert leaks.leaked_items(docs.limit(0), "doc", "text", items, "item_id", "text", "lang").count() == 0
 
 
+@pytest.mark.parametrize(("text", "lang"), [(ITEM, "en"), (ZH, "zh")])
+def test_leaks_with_one_change_in_ten_anywhere(text, lang):
+    rng = random.Random(9)
+    item = leaks.Item.of(1, text, lang)
+    units = list(item.text) if item.chars else text.split()
+    glue, other = ("", "Ж") if item.chars else (" ", "zebra")
+    search = leaks._searcher([item], 0.45)
+    import pandas as pd
+
+    def found(parts):
+        doc = glue.join(["前文" if item.chars else "Something else before", *parts, "后文" if item.chars else "nobody knows it"])
+        return any(len(f) for f in search(iter([pd.DataFrame({"d": [1], "t": [doc]})])))
+
+    least = -(-45 * len(units) // 100)
+    for _ in range(60):
+        n = rng.randint(least, len(units))
+        a = rng.randrange(len(units) - n + 1)
+        run = units[a : a + n]
+        for k in rng.sample(range(1, n - 1), n // 10):
+            run[k] = other
+        assert found(run), run
+        # a shorter quote, and one with a change too many in every long enough part of it
+        assert not found(units[a : a + least - 1])
+        assert not found([other if k % 6 == 3 else w for k, w in enumerate(units[a : a + n])])
+
+
 def test_suffix_array_finds_every_prefix():
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(3000))
