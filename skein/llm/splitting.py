@@ -2,8 +2,9 @@
 
 Method. One regular expression with bounded quantifiers takes a text apart: alternatives in the order of boundary strength
 (blank line, line break, sentence end, clause mark, white space) each consume as much as the limit allows up to such a
-boundary, and the last takes characters. The matches cover the text without gaps. Every piece but the first looks back over
-the end of its predecessor for the overlap. All of it is built-in array functions over code points.
+boundary, first in the second half of what may be taken, then anywhere behind the overlap, then anywhere; the last takes
+characters. The matches cover the text without gaps. Every piece but the first looks back over the end of its predecessors
+for the overlap. All of it is built-in array functions over code points.
 """
 
 from __future__ import annotations
@@ -12,20 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def boundary_pattern(least: int, most: int) -> str:
-    """Alternatives ordered by boundary strength; each takes least to most code points, the last alternative any number up to most."""
-    inner = f"{{{least - 1},{most - 4}}}"
-    return "|".join(
-        [
-            rf"(?s).{{1,{most}}}\z",
-            rf"(?s).{inner}\r?\n\r?\n",
-            rf"(?s).{inner}\n",
-            rf"(?s).{inner}(?:[.!?…]['\"”’»)\]]?\s|[。！？．।]['\"”’»」』)\]]?)",
-            rf"(?s).{inner}(?:[;:,]\s|[；：，、])",
-            rf"(?s).{inner}\s",
-            rf"(?s).{{1,{most}}}",
-        ]
-    )
+#: What a piece may end with, the strongest first.
+BOUNDARIES = [
+    r"\r?\n\r?\n",
+    r"\n",
+    r"(?:[.!?…]['\"”’»)\]]?\s|[。！？．।]['\"”’»」』)\]]?)",
+    r"(?:[;:,]\s|[；：，、])",
+    r"\s",
+]
+
+
+def boundary_pattern(least: int, most: int, overlap: int) -> str:
+    """Alternatives ordered by boundary strength: pieces of least to most code points, of more than the overlap, and, since
+    only the first piece must hold the overlap alone, of any size behind it. The last alternative has no boundary."""
+    inner = [f".{{{least - 1},{most - 4}}}", f".{{{overlap},{most - 4}}}"]
+    short = min(overlap - 1, most - 5)
+    if short >= 0:
+        inner.append(rf"(?!\A)\s{{0,{most - 5 - short}}}\S.{{0,{short}}}")
+    ends = [rf"(?s){i}{b}" for i in inner for b in BOUNDARIES]
+    return "|".join([rf"(?s).{{1,{most}}}\z", *ends, rf"(?s).{{1,{most}}}"])
 
 
 def split_items(items: DataFrame, key: str, text: str, limit: int = 1200, overlap: int = 100) -> DataFrame:
@@ -39,11 +45,13 @@ def split_items(items: DataFrame, key: str, text: str, limit: int = 1200, overla
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
     most = limit - overlap
-    pattern = boundary_pattern(max(overlap, most // 2), most)
+    pattern = boundary_pattern(max(overlap, most // 2), most, overlap)
     whole = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
     cores = F.when(F.char_length("t") <= limit, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
     taken = whole.select("k", cores.alias("cores")).select("k", "cores", F.transform("cores", F.char_length).alias("sizes"))
-    back = lambda core, i: F.when(i == 0, core).otherwise(F.concat(F.right(F.get("cores", i - 1), F.lit(overlap)), core))
+    # a core shorter than the overlap leaves the rest of it to those before
+    before = lambda i: F.when(F.get("sizes", i - 1) >= overlap, F.get("cores", i - 1)).otherwise(F.array_join(F.slice("cores", F.greatest(F.lit(1), i - overlap), F.least(i, F.lit(overlap + 1))), ""))
+    back = lambda core, i: F.when(i == 0, core).otherwise(F.concat(F.right(before(i), F.lit(overlap)), core))
     start = lambda _, i: F.when(i == 0, 0).otherwise(F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, b: a + b) - overlap)
     rows = taken.select("k", F.size("cores").alias("n"), F.posexplode(F.arrays_zip(F.transform("cores", back).alias("text"), F.transform("sizes", start).alias("start"))).alias("i", "x"))
     return rows.select(F.col("k").alias(key), F.col("i").alias("piece"), F.col("n").alias("pieces"), F.col("x.start").alias("start"), F.col("x.text").alias("text"))

@@ -86,6 +86,22 @@ def test_cuts_are_at_the_strongest_boundary(spark):
     assert rows[0].text.endswith("a \n\n") and rows[1].text[100:].startswith("b. ")
 
 
+def test_boundaries_in_the_first_half_are_taken(spark):
+    texts = {
+        "a": ["a" * 430 + "\n\n", "G" * 1000],
+        "b": ["b" * 599 + "\n", "c" * 49 + " ", "G" * 1090],
+        "c": ["b" * 599 + ". ", "c" * 9 + " ", "G" * 1100, "G" * 300],
+        "d": ["b" * 50 + " " + "G" * 1049, "G" * 300],  # too short for the overlap
+    }
+    df = spark.createDataFrame([(k, "".join(t)) for k, t in texts.items()], "k string, t string")
+    rows = splitting.split_items(df, "k", "t").orderBy("k", "piece").collect()
+    for k, cores in texts.items():
+        mine, whole = [r for r in rows if r.k == k], "".join(cores)
+        ends = [len("".join(cores[: i + 1])) for i in range(len(cores))]
+        assert [(r.start, r.start + len(r.text)) for r in mine] == [(max(0, b - 100), e) for b, e in zip([0, *ends], ends)]
+        assert all(whole[r.start : r.start + len(r.text)] == r.text for r in mine)
+
+
 # problem 2
 SENTENCES = [
     ["The U.S. filing lists 9 embodiments, of which No. 6 uses ZnO.", "Batch Xm-3 contained NiO, CuO, etc.", "pH values below 3.1 matter.", "4. n-Type GaN failed!", "Does it?"],
