@@ -8,8 +8,8 @@ there are at most as many as the token limit.
 
 Items are dealt by hash into shards of about SHARD_ITEMS, which are packed independently. Containers that a shard leaves
 less full than a share are opened again, and their items are packed together in fewer shards, until one shard is left or
-no more are opened; so the loss by sharding vanishes and no task grows with the data. An item above the token limit is cut
-into full containers and a rest, which is an item like any other; nothing else is split.
+no more are opened; so the loss by sharding vanishes and no task grows with the data. An item above the token limit or
+the loss limit is cut where it reaches either; its rest is an item like any other; nothing else is split.
 """
 
 from __future__ import annotations
@@ -97,23 +97,32 @@ def dot_product_packing(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
 def pack(items: DataFrame, key: str, tokens: str, loss_tokens: str, capacity: int = 2048, segments: int = 64, loss_capacity: int | None = None) -> DataFrame:
     """container, key, part, token_start, tokens, loss_tokens: every item in containers within all three limits.
 
-    container is a string that names shard and number. An item of more than capacity tokens is cut into parts; the parts of
-    full capacity have containers of their own. Loss-bearing tokens of cut items are shared among parts in the order of
-    their tokens, and are never more than the tokens of a part. Items of 0 tokens take a segment only. Null lengths count
+    container is a string that names shard and number. An item of more than capacity tokens or more than loss_capacity
+    (by default the capacity) loss-bearing tokens is cut into parts where either limit is reached; the parts of full
+    capacity have containers of their own. The loss-bearing tokens of an item are its last ones, and are shared among
+    parts in the order of their tokens. Items of 0 tokens take a segment only. Null lengths count
     as 0; null keys are left out; repeated rows are packed as often as they occur. An empty table gives no rows.
     """
     loss_capacity = capacity if loss_capacity is None else loss_capacity
-    if loss_capacity < capacity:
-        raise ValueError("a full part must fit: the loss limit can't be below the capacity")
+    if loss_capacity < 1:
+        raise ValueError("the loss limit must let a loss-bearing token in")
     n = F.coalesce(F.col(tokens).cast("int"), F.lit(0))
     # loss-bearing tokens are the last ones of an item
     loss = F.least(F.coalesce(F.col(loss_tokens).cast("int"), F.lit(0)), n)
     lengths = items.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), n.alias("n"), loss.alias("l"))
-    parts = lengths.select("k", "n", "l", F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1))).alias("part", "_"))
-    parts = parts.select("k", "part", (F.col("part") * capacity).alias("token_start"), "n", "l")
-    size = F.least(F.lit(capacity), F.col("n") - F.col("token_start"))
+    # full parts up to the one in which the loss-bearing tokens begin, then parts of as many as both limits allow
+    step, free = min(capacity, loss_capacity), F.col("n") - F.greatest(F.lit(0), F.col("l"))
+    begun = F.greatest(F.lit(0), F.least(F.floor(free / capacity), F.ceil(F.col("n") / capacity) - 1)).cast("int")
+    lengths = lengths.withColumn("begun", begun).withColumn("begun_end", F.least(F.col("n"), (F.col("begun") + 1) * capacity, free + step))
+    rests = F.ceil((F.col("n") - F.col("begun_end")) / step).cast("int")
+    parts = lengths.select("k", "n", "l", "begun", "begun_end", F.posexplode(F.sequence(F.lit(0), F.col("begun") + rests)).alias("part", "_"))
+    later = F.col("part") - F.col("begun")
+    token_start = F.when(later <= 0, F.col("part") * capacity).otherwise(F.col("begun_end") + (later - 1) * step)
+    token_end = F.when(later < 0, (F.col("part") + 1) * capacity).when(later == 0, F.col("begun_end")).otherwise(F.least(F.col("n"), F.col("begun_end") + later * step))
+    parts = parts.select("k", "part", token_start.alias("token_start"), token_end.alias("token_end"), "n", "l")
+    size = F.col("token_end") - F.col("token_start")
     first_loss = F.greatest(F.col("n") - F.col("l"), F.col("token_start"))
-    parts = parts.select("k", "part", "token_start", size.alias("tokens"), F.greatest(F.lit(0), F.col("token_start") + size - first_loss).alias("loss_tokens"))
+    parts = parts.select("k", "part", "token_start", size.alias("tokens"), F.greatest(F.lit(0), F.col("token_end") - first_loss).alias("loss_tokens"))
     open_parts = cut(parts)
     kind = dict(open_parts.dtypes)["k"]
     schema = f"container string, k {kind}, part int, token_start int, tokens int, loss_tokens int, filled int"

@@ -274,6 +274,25 @@ def test_packing_respects_all_limits(spark, monkeypatch):
     assert packing.pack(df.limit(0), "id", "n", "loss").count() == 0
 
 
+def test_a_loss_limit_below_the_capacity_binds(spark):
+    rng = random.Random(6)
+    rows = [(i, n, rng.randint(0, n)) for i, n in enumerate(rng.choices([0, 3, 40, 99, 100, 101, 200, 450], k=120))] + [(900, 100, 0), (901, 200, 200), (902, 250, 70), (903, 60, 60), (904, 300, 0)]
+    df = spark.createDataFrame(rows, "id long, n int, loss int")
+    by, parts = {}, {}
+    for r in packing.pack(df, "id", "n", "loss", 100, 8, 30).collect():
+        by.setdefault(r.container, []).append(r)
+        parts.setdefault(r.id, []).append(r)
+    assert all(sum(r.tokens for r in b) <= 100 and len(b) <= 8 and sum(r.loss_tokens for r in b) <= 30 for b in by.values())
+    for i, n, loss in rows:
+        mine = sorted(parts[i], key=lambda r: r.part)
+        assert [r.part for r in mine] == list(range(len(mine))) and sum(r.tokens for r in mine) == n and sum(r.loss_tokens for r in mine) == loss
+        assert [r.token_start for r in mine] == [sum(x.tokens for x in mine[:k]) for k in range(len(mine))]
+        assert (len(mine) > 1) == (n > 100 or loss > 30)
+        # a part ends only where a limit is reached
+        assert all(r.tokens == 100 or r.loss_tokens == 30 for r in mine[:-1])
+    assert [(r.tokens, r.loss_tokens) for r in sorted(parts[902], key=lambda r: r.part)] == [(100, 0), (100, 20), (30, 30), (20, 20)]
+
+
 def test_token_counts(spark):
     from skein.llm.plans import TOKEN_PATTERN, TOKENIZER
 
