@@ -265,24 +265,18 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def spans_of(texts: pd.Series) -> pd.Series:
-    """For arrays of texts the spans of all of them, each once."""
-    codes, words = pd.factorize(pd.Series([t for several in texts for t in several], dtype=object))
-    found = [sentence_spans(w) for w in words]
-    out, at = [], 0
-    for several in texts:
-        mine = codes[at : at + len(several)]
-        at += len(several)
-        spans = found[mine[0]] if len(mine) == 1 else sorted({s for c in mine for s in found[c]})
-        out.append([{"start": a, "end": b} for a, b in spans])
-    return pd.Series(out, dtype=object)
+    codes, words = pd.factorize(texts)
+    found = [[{"start": a, "end": b} for a, b in sentence_spans(w)] for w in words]
+    return pd.Series([found[c] for c in codes], dtype=object)
 
 
 def sentence_units(records: DataFrame, key: str, text: str) -> DataFrame:
     """key, start_offset, end_offset: the sentence units of each record's text, whole, each once.
 
     Null keys, null texts and texts of white space give no rows. Repeated rows of one key and text give one set of units;
-    if a key has several texts, the units of all of them come. Rows are shuffled once, by key.
+    if a key has several texts, the units of all of them come. Rows are dealt by key and text, so that the texts of a key
+    are neither gathered nor in one task; its spans are made distinct afterwards.
     """
     whole = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    units = dealt(whole, "k").groupBy("k").agg(F.collect_set("t").alias("t")).select("k", F.explode(spans_of("t")).alias("s"))
-    return units.select(F.col("k").alias(key), F.col("s.start").alias("start_offset"), F.col("s.end").alias("end_offset"))
+    units = dealt(whole, "k", "t").distinct().select("k", F.explode(spans_of("t")).alias("s"))
+    return units.select(F.col("k").alias(key), F.col("s.start").alias("start_offset"), F.col("s.end").alias("end_offset")).distinct()

@@ -141,6 +141,14 @@ def test_sentence_table(spark):
     assert sentences.sentence_units(df.limit(0), "id", "text").count() == 0
 
 
+def test_texts_of_one_key_are_in_several_tasks(spark):
+    df = spark.createDataFrame([("hot", f"One {i}. Two {i}.") for i in range(200)] * 2, "id string, text string")
+    units = sentences.sentence_units(df, "id", "text")
+    assert {tuple(r) for r in units.collect()} == {s for i in range(200) for a in [len(f"One {i}.")] for s in [("hot", 0, a), ("hot", a + 1, 2 * a + 1)]}
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and re.search(r"hashpartitioning\(k#\d+, t#\d+", plan)
+
+
 def test_spans_cover_the_text():
     rng = random.Random(1)
     for _ in range(300):
