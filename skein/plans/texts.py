@@ -137,12 +137,14 @@ def redact_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 @register()
 def inverted_index_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts taken apart into word positions and put together again; true where the words come back."""
+    """Texts taken apart into word positions and put together again; true where the words come back, null for texts without
+    words or of more than 20,000, which have no valid index."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    d = table(spark, folder, "documents").select("doc_id", words.alias("w")).where("size(w) between 1 and 20000")
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", words.alias("w"))
     pairs = F.array_distinct("w")
     index = F.map_from_arrays(pairs, F.transform(pairs, lambda x: F.filter(F.transform("w", lambda v, i: F.when(v == x, i)), lambda i: i.isNotNull())))
-    return d.select("doc_id", F.size("w").alias("words"), (tx.words_by_position(index) == F.array_join("w", " ")).alias("same"))
+    same = F.when(F.size("w").between(1, 20_000), tx.words_by_position(index) == F.array_join("w", " "))
+    return d.select("doc_id", F.size("w").alias("words"), same.alias("same"))
 
 
 @register()

@@ -103,3 +103,12 @@ def test_files_round_trip(spark, tmp_path):
 def test_event_frames_decode_what_was_encoded():
     text = ": hello\n\n" + files.event_frame(1, "text", {"t": "é\n"}) + files.event_frame(2, "end", {})
     assert [(e["id"], e["event"], e["data"]) for e in files.event_frames(text.splitlines(True))] == [(1, "text", {"t": "é\n"}), (2, "end", {})]
+
+
+def test_inverted_index_keeps_long_and_empty_texts(spark, tmp_path):
+    from skein.plans import texts
+
+    rows = [(1, "a b  a"), (2, "w " * 20_001), (3, " \n"), (4, ""), (5, "v " * 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.words, r.same) for r in texts.inverted_index_text(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, True), 2: (20_001, None), 3: (0, None), 4: (0, None), 5: (20_000, True)}
