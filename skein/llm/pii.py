@@ -227,10 +227,8 @@ def _numbers(text: str) -> list[Span]:
 
 def _cased_names(text: str) -> list[Span]:
     out: list[Span] = []
-    done = -1
-    for hit in _TWO_CAPITALS.finditer(text):
-        if hit.start() < done:
-            continue
+    done = 0
+    while hit := _TWO_CAPITALS.search(text, done):
         begin = hit.start()
         # a particle or the rest of the word may stand before
         tokens: list[tuple[int, int, str]] = []
@@ -245,7 +243,9 @@ def _cased_names(text: str) -> list[Span]:
                 at += 1
             elif tokens[-1][2] != "i":
                 break
-        done = max(done, at - 1 if tokens else hit.start())
+            if (text[at : at + 1] > "ɏ") != (s[0] > "ɏ"):
+                break  # no name mixes scripts
+        done = max(at, begin + 1)
         for i in range(len(tokens)):
             commas = words = initials = 0
             for j in range(i, min(i + _LONGEST, len(tokens))):
@@ -351,7 +351,8 @@ class _Context:
         return float(min(40, self.starts[i] - b)) if i < len(self.starts) else 40.0, float(min(40, a - self.ends[j])) if j >= 0 else 40.0
 
     def before(self, a: int) -> tuple[str, str]:
-        """(class, last word) of what stands before a place."""
+        """(class, last word) of what stands before a place. A capital counts within the script of the place only, and not
+        at the beginning of a sentence."""
         raw = self.text[max(0, a - 30) : a]
         left = raw.rstrip()
         if not left or "\n\n" in raw[len(left) :]:
@@ -363,6 +364,9 @@ class _Context:
             return ("role_label" if WORD_CLASS.get(low) == "role" else "label"), low
         known = WORD_CLASS.get(low)
         if known == "title" and len(raw) > len(left) and (last == "." or len(low) > 1):
+            # a lone M. behind a capitalized word is an initial
+            if len(low) == 1 and left[: -len(word)].split()[-1:] and left[: -len(word)].split()[-1][:1].isupper():
+                return "capital", low
             return "title", low
         if last in ",、，":
             return "comma", low
@@ -377,7 +381,11 @@ class _Context:
         if known:
             return known, low
         if word[:1].isupper():
-            return "capital", low
+            if (word[0] > "ɏ") != (self.text[a : a + 1] > "ɏ"):
+                return "word", low
+            head = left[: -len(word)].rstrip()
+            first = len(word) > 2 and not word.isupper() and (not head and len(left) < 30 or head[-1:] in _STOPS or "\n" in left[len(head) : -len(word)])
+            return ("first_word" if first else "capital"), low
         if last.isalpha():
             return "word", low
         return "sign", low
@@ -413,7 +421,8 @@ class _Context:
         return "word", low
 
 
-_BEFORE = "article capital number place_preposition auxiliary company thing place month document_word sign sentence quote start word opening comma conjunction person_verb person_preposition label role title role_label".split()
+_STOPS = set(".!?。！？:;”»")
+_BEFORE = "article capital number place_preposition auxiliary company thing place month document_word sign sentence quote start first_word word opening comma conjunction person_verb person_preposition label role title role_label".split()
 _BEFORE_AT = {k: float(i) for i, k in enumerate(_BEFORE)}
 _AFTER = "company place thing glued document_word number capital month auxiliary place_preposition word article title role genitive line end stop quote conjunction comma opening person_preposition person_verb".split()
 _AFTER_AT = {k: float(i) for i, k in enumerate(_AFTER)}
@@ -441,6 +450,7 @@ def _cased_features(c: _Context, span: Span) -> list[float]:
     capitals = sum(1 for w in lead_words if w[:1].isupper())
     colon = lead[max(0, cut - 2) : cut].strip()[-1:] == ":"
     upper = s.isupper()
+    shouted = upper and any(len(w) > 1 and w.isupper() for w in (*c.text[max(0, a - 24) : a].split()[-2:], *c.text[b : b + 24].split()[:2]))
     return [
         _BEFORE_AT.get(before, 14.0), _AFTER_AT.get(after, 10.0),
         float(len(words)), float(len(whole)), float(len(words) - len(whole)) if len(whole) != len(words) or len(words[0]) > 1 else float(len(words)),
@@ -449,10 +459,11 @@ def _cased_features(c: _Context, span: Span) -> list[float]:
         float(sum(k in _FUNCTION for k in kinds)), float(kinds[0] in _FUNCTION), float(sum(k is not None and k not in _FUNCTION and k not in ("title", "person_verb") for k in kinds)), float("month" in kinds), float("company" in kinds or "place" in kinds), float("title" in kinds or "role" in kinds),
         float(sum(1 for w in whole if _GERMAN_NOUN.search(w))), float(min(len(w) for w in whole)), float(len(s)),
         behind, ahead, float(before in ("title", "role", "role_label", "label")), float(before == "conjunction" or before == "comma"), float(before == "capital"), float(after == "capital"),
-        float(len(lead_words)), float(capitals) / (len(lead_words) + 1), float(colon), float(len(words[0]) == 1 and before == "number"), float(word in _PARTICLES_BEFORE), c.common(word)[0] if word.isalpha() else 0.0,
+        float(len(lead_words)), float(capitals) / (len(lead_words) + 1), float(colon), float(len(words[0]) == 1 and before == "number"), float(word in _PARTICLES_BEFORE), c.common(word)[0] if word.isalpha() else 0.0, float(shouted), float(s.startswith("M. ") and word in _FRENCH),
     ]
 
 
+_FRENCH = {"par", "de", "à", "avec", "chez", "que", "et", "pour", "selon", "à"}
 _PARTICLES_BEFORE = {"van", "von", "de", "der", "den", "di", "da", "du", "al", "el", "bin"}
 _ZH_ROLE_END = re.compile(rf"(?:{_ZH_ROLE})$")
 _ZH_LABEL = re.compile(r"[：:]\s?$")
@@ -504,8 +515,8 @@ def _number_features(c: _Context, span: Span) -> list[float]:
     return [
         float(FORMATS[kind].index(name)), float(kind == "phone"), float(digits), float(len(s)), float(s[0] == "+"), float(s[:2] == "00"), float(s[0] == "0"), float(s.count("-")), float(s.count(" ")), float(s.count(".")), float(s.count("(") + s.count("（")), float(sum(ch.isalpha() for ch in s)),
         float(cue == kind), float(cue == "other"), float(cue != "" and cue != kind and cue != "other"), float(distance), float(name == "run"),
-        float(prev.isalpha() and prev.isascii()), float(prev != "" and prev in "-/.,:@#$€£"), float(nxt[:1] in ("-", "/", ":", "@", "%") or (nxt[:1] == " " and nxt[1:].isdigit())), float(bool(_DATE.match(s))), float(digit == len(c.text[max(0, a - 42) : a]) - 1 and digit >= 0),
-        float(prev in ("", " ", "\n", "/", "(", "：", ":", "（") or not prev.isascii()), c.near(a, b)[1],
+        float(prev.isalpha() and prev.isascii()), float(prev != "" and prev in "-/.,:@#$€£"), float(nxt[:1] in ("-", "/", ":", "@", "%") or (nxt[:1] == " " and nxt[1:].isdigit())), float(bool(_DATE.match(s))), float(digit >= 0 and not lead.strip(" ")),
+        float(prev in ("", " ", "\n", "/", "(", "：", ":", "（") or not prev.isascii()), c.near(a, b)[1], float(s.count("/")), float(sum(d.isdigit() for d in s.partition("/")[2])),
     ]
 
 
