@@ -4,16 +4,20 @@ Texts become streams of letters and digits: compatibility forms, case, punctuati
 the places where words began are kept. Words of an item are its blank-separated words; Chinese items count single
 characters.
 
-Method. Every shard of the corpus (an Arrow batch of whole documents) gets a suffix array over all its symbols, ordered by
-their first DEPTH symbols. Every suffix of every item that begins a word is searched in it by binary search, all at once;
-each hit is widened to its longest verbatim match. Matches only say where a run may lie. From each the item is then aligned
-with the text on both sides, word by word, a changed word against the one word in its place; where the alignment meets
-another match, about as much text may stand in between. A run counts if at most one word in ten is changed and it holds at
-least the given share of the item's words.
-
-A run with at most one change in ten has Item.least unchanged words in a row, so the first SEED symbols of as many words
-are enough for a hit and none is lost. Items go to the tasks in blocks of at most ITEM_BLOCK rows, whose size is therefore
-bounded; the corpus is only scanned, never shuffled.
+Method. Every shard of the corpus (an Arrow batch of whole documents) gets a suffix array over all its symbols. Suffixes are
+ordered by their first DEPTH symbols at once; a bucket of suffixes that are alike so far is ordered by the next DEPTH symbols
+when a search enters it, and so on without end, so that every search sees the order of whole suffixes and no time goes into
+buckets that nobody enters. Every suffix of every item that begins a word is searched by binary search, first all at once,
+then bucket by bucket, up to its longest verbatim match that can matter.
+
+A run with at most one change in ten has Item.least unchanged words in a row, wherever its changes are. A document is a
+candidate if it holds so many words of the item verbatim; shorter matches, however frequent, cost nothing but the search.
+From the matches of a candidate the item is aligned with the text on both sides, word by word, a changed word against the one
+word in its place; where the alignment meets another match, about as much text may stand in between. A run counts if at most
+one word in ten is changed and it holds at least the given share of the item's words.
+
+Items go to the tasks in blocks of at most about ITEM_BLOCK characters, one broadcast each, and all blocks are searched in a
+shard before the next; the corpus is only scanned, once, and never shuffled.
 """
 
 from __future__ import annotations
@@ -33,13 +37,14 @@ from pyspark.sql import functions as F
 
 from skein.session import spread
 
-#: Items in one pass over the corpus.
-ITEM_BLOCK = 20_000
-#: Symbols by which suffixes are ordered, four to an integer: no seed has more.
+#: Characters of the items in one broadcast, about.
+ITEM_BLOCK = 8_000_000
+#: Symbols by which suffixes are ordered at once, four to an integer.
 DEPTH = 12
-#: Common prefix of a hit, for items of words and of Chinese characters; less where the words of a seed have less.
+#: Common prefix of the further matches of a candidate, for items of words and of Chinese characters; less where fewer are left.
 SEED, SEED_CHARS = 12, 7
-#: Symbols of text that may stand before a match in the place of one changed word, of one changed character.
+#: Symbols of text that may stand before a match in the place of one changed word, of one changed character. A single word
+#: in the place of a changed one may have any length.
 GAP, GAP_CHARS = 40, 3
 #: One word in so many may be changed.
 CHANGED_PER = 10
@@ -136,10 +141,15 @@ class Item:
         runs = range(max(1, _needed(total, share)), total + 1)
         return min((-(-(n - n // CHANGED_PER) // (n // CHANGED_PER + 1)) for n in runs), default=total + 1)
 
+    def stretches(self, share: float) -> list[tuple[int, int]]:
+        """(place, symbols) of the stretches of words one of which is unchanged in every long enough run."""
+        least = self.least(share)
+        return [(q, self.ends[k + least - 1] - q) for k, q in enumerate(self.starts[: len(self.starts) - least + 1])]
+
     def seeds(self, share: float) -> list[tuple[int, int]]:
-        """(place, symbols) of the prefixes one of which is in every long enough run."""
-        least, most = self.least(share), SEED_CHARS if self.chars else SEED
-        return [(q, min(most, self.ends[k + least - 1] - q)) for k, q in enumerate(self.starts[: len(self.starts) - least + 1])]
+        """(place, symbols) of the prefixes of further matches."""
+        most = SEED_CHARS if self.chars else SEED
+        return [(q, min(most, n)) for q, n in self.stretches(share)]
 
 
 def _needed(total: int, share: float) -> int:
@@ -162,8 +172,32 @@ def _keys(codes: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
     return out
 
 
+def _pack(rows: np.ndarray) -> np.ndarray:
+    """Rows of DEPTH symbols as rows of integers."""
+    x = rows.astype(np.uint64) & np.uint64(0xFFFF)
+    return (x[:, 0::4] << np.uint64(48)) | (x[:, 1::4] << np.uint64(32)) | (x[:, 2::4] << np.uint64(16)) | x[:, 3::4]
+
+
+def _bound(keys: list[np.ndarray], wanted: np.ndarray, mask: np.ndarray, after: bool) -> np.ndarray:
+    """The first row of sorted keys not below (after: above) each wanted prefix: binary search of all at once."""
+    n = len(keys[0])
+    lo = np.zeros(len(wanted), dtype=np.int64)
+    hi = np.full(len(wanted), n, dtype=np.int64)
+    while n and (open_ := lo < hi).any():
+        middle = np.minimum((lo + hi) // 2, n - 1)
+        below, equal = np.zeros(len(wanted), dtype=bool), np.ones(len(wanted), dtype=bool)
+        for w, column in enumerate(keys):
+            here = column[middle] & mask[:, w]
+            below |= equal & (here < wanted[:, w])
+            equal &= here == wanted[:, w]
+        forward = (below | equal if after else below) & open_
+        lo = np.where(forward, middle + 1, lo)
+        hi = np.where(~forward & open_, middle, hi)
+    return lo
+
+
 class SuffixArray:
-    """The chosen suffixes of a text in the order of their first DEPTH symbols."""
+    """The suffixes of a text in order; a bucket is ordered beyond DEPTH symbols when a search enters it."""
 
     def __init__(self, symbols: np.ndarray, starts: np.ndarray):
         # a symbol above 65,535 keeps its low bits; matches are compared by whole symbols later
@@ -171,34 +205,41 @@ class SuffixArray:
         keys = _keys(self.codes & 0xFFFF, starts, DEPTH // 4)
         order = np.lexsort(keys[::-1])
         self.at = starts[order]
-        self.keys = [k[order] for k in keys[: -(-max(SEED, SEED_CHARS) // 4)]]
-
-    def prefix_ranges(self, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of symbols the range of suffixes that begin with it: binary search of all rows at once."""
-        least = prefixes.shape[1]
-        padded = np.zeros((len(prefixes), 4 * len(self.keys)), dtype=np.uint64)
-        padded[:, :least] = prefixes & 0xFFFF
-        mask = np.zeros(4 * len(self.keys), dtype=np.uint64)
-        mask[:least] = 0xFFFF
-        pack = lambda x: (x[..., 0::4] << np.uint64(48)) | (x[..., 1::4] << np.uint64(32)) | (x[..., 2::4] << np.uint64(16)) | x[..., 3::4]
-        wanted, mask = pack(padded), pack(mask)
-        return self._bound(wanted, mask, False), self._bound(wanted, mask, True)
-
-    def _bound(self, wanted: np.ndarray, mask: np.ndarray, after: bool) -> np.ndarray:
-        """The first suffix not below (after: above) each wanted prefix."""
-        lo = np.zeros(len(wanted), dtype=np.int64)
-        hi = np.full(len(wanted), len(self.at), dtype=np.int64)
-        while len(self.at) and (open_ := lo < hi).any():
-            middle = np.minimum((lo + hi) // 2, len(self.at) - 1)
-            below, equal = np.zeros(len(wanted), dtype=bool), np.ones(len(wanted), dtype=bool)
-            for w, keys in enumerate(self.keys):
-                here = keys[middle] & mask[w]
-                below |= equal & (here < wanted[:, w])
-                equal &= here == wanted[:, w]
-            forward = (below | equal if after else below) & open_
-            lo = np.where(forward, middle + 1, lo)
-            hi = np.where(~forward & open_, middle, hi)
-        return lo
+        self.keys = [k[order] for k in keys]
+
+    def ranges(self, patterns: list[np.ndarray]) -> list[tuple[int, int]]:
+        """For each pattern the rows of the suffixes that begin with it: first all suffixes are searched by DEPTH symbols,
+        then all buckets that patterns go on in are ordered and searched by the next DEPTH symbols, until none goes on."""
+        sizes = np.array([len(p) for p in patterns], dtype=np.int64)
+        padded = np.zeros((len(patterns), -(-int(sizes.max(initial=1)) // DEPTH) * DEPTH), dtype=np.uint32)
+        for i, p in enumerate(patterns):
+            padded[i, : len(p)] = p
+        los, his = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), len(self.at), dtype=np.int64)
+        active, depth = np.arange(len(patterns)), 0
+        while len(active):
+            mask = _pack(np.where(np.arange(depth, depth + DEPTH)[None, :] < sizes[active, None], 0xFFFF, 0))
+            wanted = _pack(padded[active, depth : depth + DEPTH])
+            if depth == 0:
+                keys, shift = self.keys, np.zeros(len(active), dtype=np.int64)
+            else:
+                buckets, of = np.unique(np.stack([los[active], his[active]], axis=1), axis=0, return_inverse=True)
+                of = of.ravel()
+                lengths = buckets[:, 1] - buckets[:, 0]
+                offset = np.cumsum(lengths) - lengths
+                which = np.repeat(np.arange(len(buckets)), lengths)
+                rows = np.arange(len(which)) - offset[which] + buckets[which, 0]
+                places = np.minimum(self.at[rows] + depth, len(self.codes) - DEPTH - 1)
+                keys = [which.astype(np.uint64), *_keys(self.codes & 0xFFFF, places, DEPTH // 4)]
+                order = np.lexsort(keys[::-1])
+                self.at[rows] = self.at[rows][order]
+                keys = [k[order] for k in keys]
+                wanted = np.concatenate([of[:, None].astype(np.uint64), wanted], axis=1)
+                mask = np.concatenate([np.full((len(active), 1), ~np.uint64(0)), mask], axis=1)
+                shift = buckets[of, 0] - offset[of]
+            los[active], his[active] = _bound(keys, wanted, mask, False) + shift, _bound(keys, wanted, mask, True) + shift
+            depth += DEPTH
+            active = active[(los[active] < his[active]) & (sizes[active] > depth)]
+        return list(zip(los.tolist(), his.tolist()))
 
 
 def _common(text: str, at: int, other: str, start: int) -> int:
@@ -240,11 +281,13 @@ class Page:
             return [at + step]
         if step > 0:
             k, h = bisect_right(self.free, at), bisect_right(self.hard, at)
-            last = min(self.hard[h] if h < len(self.hard) else self.end, at + GAP)
-            return self.free[k : bisect_right(self.free, last)]
+            border = self.hard[h] if h < len(self.hard) else self.end
+            within = self.free[k : bisect_right(self.free, min(border, at + GAP))]
+            return within if border <= at + GAP else [*within, border]
         k, h = bisect_left(self.free, at), bisect_left(self.hard, at)
-        last = max(self.hard[h - 1] if h else self.begin, at - GAP)
-        return self.free[bisect_left(self.free, last) : k]
+        border = self.hard[h - 1] if h else self.begin
+        within = self.free[bisect_left(self.free, max(border, at - GAP)) : k]
+        return within if border >= at - GAP else [*within, border]
 
 
 def _spans(item: Item, page: Page, matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int, int, bool]]:
@@ -330,46 +373,73 @@ def holds(item: Item, page: Page, matches: list[tuple[int, int, int]], share: fl
     return False
 
 
-def _found_in(texts: list[str], items: list[Item], seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], share: float) -> list[tuple[int, int]]:
-    """(document, item) positions whose text holds enough of the item, for one shard."""
-    symbols, _, borders, hard, free = _streams(texts)
-    places = np.flatnonzero(symbols)
-    if not len(places):
-        return []
-    array = SuffixArray(symbols, places)
-    whole = symbols.tobytes().decode("utf-32-le", "surrogatepass")
-    hits = []
-    for least, (which, at, prefixes) in seeds.items():
-        los, his = array.prefix_ranges(prefixes)
-        hits += [(which[k], at[k], los[k], his[k], least) for k in np.flatnonzero(los < his)]
-    matches: dict[tuple[int, int], dict[int, list[tuple[int, int, int]]]] = {}
-    for i, q, lo, hi, least in sorted((int(i), int(q), lo, hi, least) for i, q, lo, hi, least in hits):
-        for p in array.at[lo:hi].tolist():
-            doc = int(np.searchsorted(borders, p, "right")) - 1
-            found = matches.setdefault((doc, i), {}).setdefault(p - q, [])
+def _matches(item: Item, seeds: list[tuple[int, int]], whole: str, begin: int, end: int) -> list[tuple[int, int, int]]:
+    """(place in the shard, place in the item, length) of the verbatim matches in one document, widened behind."""
+    out: list[tuple[int, int, int]] = []
+    reached: dict[int, int] = {}  # by diagonal, how far in the item the last match goes
+    for q, n in seeds:
+        seed = item.text[q : q + n]
+        p = whole.find(seed, begin, end)
+        while p >= 0:
             # a match that lies in a longer one on the same diagonal was widened already
-            if found and q < found[-1][1] + found[-1][2]:
-                continue
-            length = _common(whole, p, items[i].text, q)
-            if length >= least:
-                found.append((p, q, length))
-    out = []
-    for (doc, i), found in matches.items():
-        begin, end = int(borders[doc]), int(borders[doc + 1]) - 1
-        near = [m for diagonal in found.values() for m in diagonal]
+            if q >= reached.get(p - q, -1):
+                length = _common(whole, p, item.text, q)
+                reached[p - q] = q + length
+                out.append((p, q, length))
+            p = whole.find(seed, p + 1, end)
+    return out
+
+
+class Sought:
+    """Items as they are searched: the stretches of all, each distinct one once."""
+
+    def __init__(self, rows: list[tuple], share: float):
+        self.items = [item for item in (Item.of(*r) for r in rows) if len(item.starts)]
+        self.share = share
+        of: dict[str, list[int]] = {}
+        for i, item in enumerate(self.items):
+            for q, n in item.stretches(share):
+                mine = of.setdefault(item.text[q : q + n], [])
+                if not mine or mine[-1] != i:
+                    mine.append(i)
+        self.patterns = [_codes(s) for s in of]
+        self.owners = list(of.values())
+        self.seeds = [item.seeds(share) for item in self.items]
+
+
+class Shard:
+    """Documents with the suffix array over their symbols."""
+
+    def __init__(self, texts: list[str]):
+        symbols, _, self.borders, self.hard, self.free = _streams(texts)
+        self.array = SuffixArray(symbols, np.flatnonzero(symbols))
+        self.whole = symbols.tobytes().decode("utf-32-le", "surrogatepass")
+
+    def holding(self, sought: Sought) -> list[tuple[int, int]]:
+        """(document, item) positions whose text holds enough of the item."""
+        if not len(self.array.at):
+            return []
+        pairs: set[tuple[int, int]] = set()
+        for k, (lo, hi) in enumerate(self.array.ranges(sought.patterns)):
+            if lo < hi:
+                docs = np.unique(np.searchsorted(self.borders, self.array.at[lo:hi], "right") - 1).tolist()
+                pairs |= {(doc, i) for i in sought.owners[k] for doc in docs}
+        return [(doc, i) for doc, i in sorted(pairs) if self._holds(doc, sought.items[i], sought.seeds[i], sought.share)]
+
+    def _holds(self, doc: int, item: Item, seeds: list[tuple[int, int]], share: float) -> bool:
+        begin, end = int(self.borders[doc]), int(self.borders[doc + 1]) - 1
+        near = _matches(item, seeds, self.whole, begin, end)
         if not near:
-            continue
-        if items[i].chars:
-            page = Page(whole, begin, end, [], [], True)
+            return False
+        if item.chars:
+            page = Page(self.whole, begin, end, [], [], True)
         else:
-            # no run reaches farther from a match than its words and gaps
-            reach = len(items[i].text) + GAP * (len(items[i].starts) + 1)
+            # words longer than a gap reach farther than the match and its gaps: take the borders around them, too
+            reach = len(item.text) + GAP * (len(item.starts) + 1)
             first, last = max(begin, min(m[0] for m in near) - reach), min(end, max(m[0] + m[2] for m in near) + reach)
-            inside = hard[np.searchsorted(hard, first) : np.searchsorted(hard, last, "right")]
-            page = Page(whole, first, last, inside.tolist(), (np.flatnonzero(free[first : last + 1]) + first).tolist(), False)
-        if holds(items[i], page, near, share):
-            out.append((doc, i))
-    return out
+            inside = self.hard[np.searchsorted(self.hard, first) : np.searchsorted(self.hard, last, "right")]
+            page = Page(self.whole, first, last, inside.tolist(), (np.flatnonzero(self.free[first : last + 1]) + first).tolist(), False)
+        return holds(item, page, near, share)
 
 
 def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, lang: str, share: float = 0.45) -> DataFrame:
@@ -383,33 +453,31 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
     kinds = dict(corpus.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"doc {kinds[0]}, item {kinds[1]}"
     ready = spread(ready, "d")
-    out = None
-    blocks = max(1, -(-kept.count() // ITEM_BLOCK))
-    for block in range(blocks):
-        rows = kept.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()  # at most about ITEM_BLOCK rows
-        known = [item for item in (Item.of(r.i, r.t, r.l) for r in rows) if len(item.starts)]
-        part = ready.mapInPandas(_searcher(known, share), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
+    blocks = max(1, -(-(kept.agg(F.sum(F.length("t"))).first()[0] or 0) // ITEM_BLOCK))
+    sent = []
+    for block in range(blocks):  # the driver holds one block at a time
+        part = kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
+        sent.append(corpus.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()]))
+    return ready.mapInPandas(_searcher(sent, share), schema).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
+
 
+def _searcher(blocks: list, share: float):
+    """blocks: broadcasts of rows (id, text, language)."""
 
-def _searcher(items: list[Item], share: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sized: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-        for i, item in enumerate(items):
-            codes = _codes(item.text)
-            for q, least in item.seeds(share):
-                sized.setdefault(least, []).append((i, q, codes[q : q + least]))
-        seeds = {least: (np.array([i for i, _, _ in s]), np.array([q for _, q, _ in s]), np.stack([c for _, _, c in s])) for least, s in sized.items()}
+        only = Sought(blocks[0].value, share) if len(blocks) == 1 else None
         for batch in batches:
             texts, ids = batch["t"].tolist(), batch["d"].tolist()
             first, size = 0, 0
             for last, text in enumerate(texts):
                 size += len(text)
                 if size >= SHARD or last == len(texts) - 1:
-                    hits = _found_in(texts[first : last + 1], items, seeds, share)
-                    if hits:
-                        yield pd.DataFrame({"doc": [ids[first + d] for d, _ in hits], "item": [items[i].item_id for _, i in hits]})
+                    shard = Shard(texts[first : last + 1])
+                    for block in blocks:
+                        sought = only or Sought(block.value, share)
+                        hits = shard.holding(sought)
+                        if hits:
+                            yield pd.DataFrame({"doc": [ids[first + d] for d, _ in hits], "item": [sought.items[i].item_id for _, i in hits]})
                     first, size = last + 1, 0
 
     return search

@@ -4,6 +4,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,14 +195,53 @@ def test_leaks_by_brute_force_cases(spark):
     assert leaks.leaked_items(docs.limit(0), "doc", "text", items, "item_id", "text", "lang").count() == 0
 
 
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def leaked(items, texts):
+    frames = leaks._searcher([Sent(items)], 0.45)(iter([pd.DataFrame({"d": range(len(texts)), "t": texts})]))
+    return {(int(d), int(i)) for f in frames for d, i in zip(f["doc"], f["item"])}
+
+
+def test_short_items_are_found_whole():
+    items = [(1, "Is it so?", "en"), (2, "Who is he?", "en"), (3, "a b c d e f g h i j", "en"), (4, "水的沸点", "zh"), (5, "I", "en")]
+    texts = [f"He asked: {t} Then he left." for _, t, _ in items]
+    assert {(k, k + 1) for k in range(5)} <= leaked(items, texts)
+    assert not {(k, i) for k, i in leaked(items, texts) if i != k + 1 and i != 5}
+
+
+def test_a_changed_word_of_any_length():
+    words = ITEM.split()
+    words[10] = "poly" * 20
+    assert leaked([(1, ITEM, "en")], [" ".join(words[3:18]), " ".join([*words[3:10], "x" * 50, "y" * 50, *words[11:18]])]) == {(0, 1)}
+
+
+def test_frequent_seeds_of_many_items_cost_no_alignment(monkeypatch):
+    # all items and texts begin words with the same twelve symbols
+    items = [(k, f"Considering that sample {k} " + " ".join(f"word{k}x{j}" for j in range(20)), "en") for k in range(300)]
+    texts = [f"Considering that sample number is {d}, nothing happened in the long night. " * 3 for d in range(300)] + [items[7][1]]
+    calls = []
+    real = leaks.holds
+    monkeypatch.setattr(leaks, "holds", lambda *a: calls.append(1) or real(*a))
+    assert leaked(items, texts) == {(300, 7)} and len(calls) == 1
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 400)
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20)), "en") for k in range(12)], "item_id long, text string, lang string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(4, 20))) for k in range(0, 12, 2)], "doc long, text string")
+    assert {tuple(r) for r in leaks.leaked_items(docs, "doc", "text", items, "item_id", "text", "lang").collect()} == {(k, k) for k in range(0, 12, 2)}
+
+
 @pytest.mark.parametrize(("text", "lang"), [(ITEM, "en"), (ZH, "zh")])
 def test_leaks_with_one_change_in_ten_anywhere(text, lang):
     rng = random.Random(9)
     item = leaks.Item.of(1, text, lang)
     units = list(item.text) if item.chars else text.split()
     glue, other = ("", "Ж") if item.chars else (" ", "zebra")
-    search = leaks._searcher([item], 0.45)
-    import pandas as pd
+    search = leaks._searcher([Sent([(1, text, lang)])], 0.45)
 
     def found(parts):
         doc = glue.join(["前文" if item.chars else "Something else before", *parts, "后文" if item.chars else "nobody knows it"])
@@ -222,13 +262,18 @@ def test_leaks_with_one_change_in_ten_anywhere(text, lang):
 
 def test_suffix_array_finds_every_prefix():
     rng = random.Random(1)
-    text = "".join(rng.choice("abc") for _ in range(3000))
-    array = leaks.SuffixArray(leaks._codes(text), np.arange(len(text)))
-    for _ in range(100):
-        at = rng.randrange(2980)
-        probe = text[at : at + 9] if rng.random() < 0.8 else "".join(rng.choice("abc") for _ in range(9))
-        lo, hi = (int(x[0]) for x in array.prefix_ranges(leaks._codes(probe)[None, :]))
-        assert sorted(array.at[lo:hi].tolist()) == [m.start() for m in re.finditer(f"(?={probe})", text)]
+    text = "".join(rng.choice("abc") for _ in range(2000))
+    text += text[:700] + "𐐷" + text[300:900]
+    probes = []
+    for n in (1, 5, 12, 13, 30, 100, 500):
+        for _ in range(30):
+            at = rng.randrange(len(text) - n)
+            probes.append(text[at : at + n] if rng.random() < 0.8 else "".join(rng.choice("abc") for _ in range(n)))
+    for at in (rng.sample(range(len(text)), len(text)), range(len(text))):
+        array = leaks.SuffixArray(leaks._codes(text), np.array(at))
+        for probe, (lo, hi) in zip(probes, array.ranges([leaks._codes(p) for p in probes])):
+            assert sorted(array.at[lo:hi].tolist()) == [m.start() for m in re.finditer(f"(?={probe})", text)]
+    assert leaks.SuffixArray(leaks._codes(""), np.arange(0)).ranges([leaks._codes("a")]) == [(0, 0)]
 
 
 # problem 10
