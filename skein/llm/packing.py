@@ -7,9 +7,10 @@ how scarce it is; when none fits it is closed. Items with equal demands are one
 there are at most as many as the token limit.
 
 Items are dealt by hash into shards of about SHARD_ITEMS, which are packed independently. Containers that a shard leaves
-less full than a share are opened again, and their items are packed together in fewer shards, until one shard is left or
-no more are opened; so the loss by sharding vanishes and no task grows with the data. An item above the token limit or
-the loss limit is cut where it reaches either; its rest is an item like any other; nothing else is split.
+less full than a share in every dimension are opened again, and their items are dealt anew and packed together, until one
+shard holds them all or packing again saves no more than SAVED of the containers; so the loss by sharding vanishes and no
+task grows with the data. An item above the token limit or the loss limit is cut where it reaches either; its rest is an item
+like any other; nothing else is split.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import cut, spread
+from skein.session import cut, dealt, spread
 
 #: Items of a shard on average.
-SHARD_ITEMS = 20_000
-#: A container that holds less than this share of its tokens is opened again while there are several shards.
+SHARD_ITEMS = 6_000
+#: A container that reaches this share of one of its limits stays closed.
 FULL_ENOUGH = 0.97
+#: Packing open containers again goes on while it saves more than this share of them.
+SAVED = 0.01
 
 
 class Tokenizer:
@@ -50,16 +53,25 @@ class Tokenizer:
         return [len(encode(t)) for t in texts]
 
 
-def token_counts(documents: DataFrame, key: str, text: str, tokenizer: Tokenizer) -> DataFrame:
-    """key, tokens: the length of every text; null texts have none and are left out, an empty text has 0 tokens."""
+def token_counts(documents: DataFrame, key: str, text: str | list[str], tokenizer: Tokenizer) -> DataFrame:
+    """key and the length of every text in tokens: for one column as tokens, for several under the columns' names.
+
+    Rows without a key or a text are left out, an empty text has 0 tokens.
+    """
     kind = dict(documents.dtypes)[key]
-    ready = spread(documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")), "k")
+    columns = [text] if isinstance(text, str) else text
+    names = ["tokens"] if isinstance(text, str) else text
+    known = F.col(key).isNotNull()
+    for c in columns:
+        known &= F.col(c).isNotNull()
+    ready = spread(documents.where(known).select(F.col(key).alias("k"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)]), "k")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "tokens": tokenizer.counts(batch["t"].tolist())})
+            yield pd.DataFrame({"k": batch["k"]} | {f"n{i}": tokenizer.counts(batch[f"t{i}"].tolist()) for i in range(len(columns))})
 
-    return ready.mapInPandas(count, f"k {kind}, tokens int").withColumnRenamed("k", key)
+    counted = ready.mapInPandas(count, f"k {kind}, " + ", ".join(f"n{i} int" for i in range(len(columns))))
+    return counted.select(F.col("k").alias(key), *[F.col(f"n{i}").alias(n) for i, n in enumerate(names)])
 
 
 def dot_product_packing(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -71,26 +83,39 @@ def dot_product_packing(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
     left = np.bincount(of.ravel(), minlength=len(classes))
     begin = np.concatenate([[0], np.cumsum(left)[:-1]])
     scaled = classes / limits
+    out = np.empty(len(demands), dtype=np.int64)
     # scarce dimensions count more: total demand over all items in units of the limit
     weights = (scaled * left[:, None]).sum(axis=0)
     weights = weights / weights.max()
-    out = np.empty(len(demands), dtype=np.int64)
-    container, room = 0, limits.astype(np.float64).copy()
-    alive = np.flatnonzero(left)
-    while len(alive):
-        fits = alive[(classes[alive] <= room).all(axis=1)]
-        if not len(fits):
-            container, room = container + 1, limits.astype(np.float64).copy()
-            continue
-        c = int(fits[np.argmax((scaled[fits] * (weights * room / limits)).sum(axis=1))])
-        take = int(min(left[c], (room[classes[c] > 0] // classes[c][classes[c] > 0]).min())) if classes[c].max() * 2 > limits[0] else 1
-        rows = order[begin[c] : begin[c] + take]
-        out[rows] = container
-        begin[c] += take
-        left[c] -= take
-        room = room - take * classes[c]
+    value = scaled * weights / limits  # dot product with the room left, up to that room
+    columns = [np.ascontiguousarray(classes[:, d]) for d in range(classes.shape[1])]
+    gains = [np.ascontiguousarray(value[:, d]) for d in range(classes.shape[1])]
+    container, room, full = 0, limits.astype(np.float64), limits.astype(np.float64)
+    gone = 0
+    for _ in range(len(demands)):
+        while True:
+            score = gains[0] * room[0]
+            fits = columns[0] <= room[0]
+            for d in range(1, len(columns)):
+                score += gains[d] * room[d]
+                fits &= columns[d] <= room[d]
+            score[~fits] = -1.0
+            c = int(score.argmax())
+            if score[c] >= 0.0:
+                break
+            container, room = container + 1, full
+        out[order[begin[c]]] = container
+        begin[c] += 1
+        left[c] -= 1
+        room = room - classes[c]
         if not left[c]:
-            alive = alive[alive != c]
+            # a class without items fits nowhere; now and then such classes are taken out
+            columns[0][c] = limits[0] + 1
+            gone += 1
+            if 4 * gone > len(columns[0]):
+                kept = np.flatnonzero(left)
+                classes, left, begin, gone = classes[kept], left[kept], begin[kept], 0
+                columns, gains = [x[kept] for x in columns], [x[kept] for x in gains]
     return out
 
 
@@ -125,7 +150,7 @@ def pack(items: DataFrame, key: str, tokens: str, loss_tokens: str, capacity: in
     parts = parts.select("k", "part", "token_start", size.alias("tokens"), F.greatest(F.lit(0), F.col("token_end") - first_loss).alias("loss_tokens"))
     open_parts = cut(parts)
     kind = dict(open_parts.dtypes)["k"]
-    schema = f"container string, k {kind}, part int, token_start int, tokens int, loss_tokens int, filled int"
+    schema = f"container string, k {kind}, part int, token_start int, tokens int, loss_tokens int, full boolean"
     limits = np.array([capacity, segments, loss_capacity])
 
     def packer(label: str):
@@ -133,30 +158,26 @@ def pack(items: DataFrame, key: str, tokens: str, loss_tokens: str, capacity: in
             group = group.sort_values(["k", "part", "tokens"], kind="stable")
             demands = np.stack([group["tokens"], np.ones(len(group), dtype=np.int64), group["loss_tokens"]], axis=1)
             at = dot_product_packing(demands, limits)
-            filled = np.bincount(at, weights=group["tokens"].to_numpy(), minlength=int(at.max()) + 1).astype(np.int64)[at]
+            used = np.stack([np.bincount(at, weights=demands[:, d]) for d in range(demands.shape[1])], axis=1)
+            full = (used >= FULL_ENOUGH * limits).any(axis=1)[at]
             shard = int(group["shard"].iloc[0])
-            return group[["k", "part", "token_start", "tokens", "loss_tokens"]].assign(container=[f"{label}-{shard}-{c}" for c in at], filled=filled)
+            return group[["k", "part", "token_start", "tokens", "loss_tokens"]].assign(container=[f"{label}-{shard}-{c}" for c in at], full=full)
 
         return run
 
-    closed, level = [], 0
+    closed, level, before = [], 0, None
     while True:
         count = open_parts.count()
         shards = max(1, math.ceil(count / SHARD_ITEMS))
-        dealt = open_parts.withColumn("shard", F.pmod(F.xxhash64("k", "part", F.lit(level)), F.lit(shards)))
-        packed = dealt.groupBy("shard").applyInPandas(packer(str(level)), schema)
-        if shards == 1:
+        sharded = dealt(open_parts.withColumn("shard", F.pmod(F.xxhash64("k", "part", F.lit(level)), F.lit(shards))), "shard")
+        packed = cut(sharded.groupBy("shard").applyInPandas(packer(str(level)), schema))
+        after = packed.agg(F.count_distinct("container")).first()[0]
+        if shards == 1 or (before is not None and after > (1 - SAVED) * before):
             closed.append(packed)
             break
-        packed = cut(packed)
-        done = F.col("filled") >= FULL_ENOUGH * capacity
-        closed.append(packed.where(done))
-        rest = packed.where(~done).select("k", "part", "token_start", "tokens", "loss_tokens")
-        if rest.count() > 0.7 * count:
-            # most containers are bound by another limit than tokens; packing again would not fill them
-            closed[-1] = packed
-            break
-        open_parts, level = rest, level + 1
+        closed.append(packed.where("full"))
+        open_parts, level = packed.where(~F.col("full")).select("k", "part", "token_start", "tokens", "loss_tokens"), level + 1
+        before = packed.where(~F.col("full")).agg(F.count_distinct("container")).first()[0]
     out = closed[0]
     for part in closed[1:]:
         out = out.unionByName(part)

@@ -90,6 +90,22 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(counts.withColumn("loss", F.greatest(F.lit(0), F.col("tokens") - 1)), "doc_id", "tokens", "loss")
 
 
+def p8_instruct(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles as prompts, texts as answers: containers of 2,048 tokens, 64 segments and 1,792 loss-bearing tokens, those of the answers."""
+    documents, tokenizer = table(spark, folder, "documents"), packing.Tokenizer(TOKENIZER, TOKEN_PATTERN)
+    whole = documents.select("doc_id", F.concat_ws("\n", "title", "text").alias("both"), F.col("text").alias("answer"))
+    return packing.pack(packing.token_counts(whole, "doc_id", ["both", "answer"], tokenizer), "doc_id", "both", "answer", 2048, 64, 1792)
+
+
+def p8_chars(spark: SparkSession, folder: str) -> DataFrame:
+    """The packing of p8_pack with code points for tokens, judged for each document: its size, its parts, and whether all its containers keep the limits."""
+    sizes = table(spark, folder, "documents").select("doc_id", F.char_length("text").alias("n"))
+    packed = packing.pack(sizes.withColumn("loss", F.col("n") - F.floor(F.col("n") / 8)), "doc_id", "n", "loss", 2048, 64, 1900)
+    used = packed.groupBy("container").agg(((F.sum("tokens") <= 2048) & (F.sum("loss_tokens") <= 1900) & (F.count("*") <= 64)).alias("kept"))
+    each = packed.join(used, "container").groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("size"), F.sum("loss_tokens").alias("loss"), F.every("kept").alias("kept"), F.max("tokens").alias("largest"))
+    return each.select("doc_id", "size", "loss", (F.col("parts") > 1).alias("split"), "kept", (F.col("largest") <= 2048).alias("within"))
+
+
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_report(p8_pack(spark, folder))
 
@@ -102,7 +118,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
+QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_instruct": p8_instruct, "p8_chars": p8_chars, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 ORACLE = {
     "p4_found": r"""
@@ -122,6 +138,9 @@ ORACLE = {
         r AS (SELECT 'relation_type' AS field_name, relation_type AS term, count(*) AS occurrences, count(*) AS records, count(*) AS weight FROM a WHERE relation_type IS NOT NULL GROUP BY relation_type)
         SELECT t.*, CASE WHEN records > 0.1 * (SELECT count(*) FROM c) THEN 'common' WHEN weight <= 2 THEN 'rare' END AS mark FROM t
         UNION ALL SELECT r.*, CASE WHEN records > 0.1 * (SELECT count(*) FROM a) THEN 'common' WHEN records <= 2 THEN 'rare' END FROM r""",
+    "p8_chars": r"""
+        SELECT doc_id, length(text) AS size, length(text) - length(text) // 8 AS loss, length(text) > 2048 OR length(text) - length(text) // 8 > 1900 AS split, true AS kept, true AS within
+        FROM documents WHERE doc_id IS NOT NULL""",
     "p7_found": "SELECT DISTINCT chunk_id FROM graph_chunks WHERE length(text) > 1200",
 }
 ORACLE["p6_found"] = f"SELECT field_name, term, mark FROM ({ORACLE['p6_terms']}) WHERE mark IS NOT NULL"

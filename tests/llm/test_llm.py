@@ -370,3 +370,21 @@ def test_streams_of_many_texts_equal_each_alone():
         part = symbols[borders[i] : borders[i + 1] - 1]
         assert "".join(map(chr, part)) == one
         assert [int(s) - borders[i] for s in starts if borders[i] <= s < borders[i + 1]] == begins
+
+
+def test_items_that_never_fill_a_container_end(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    df = spark.createDataFrame([(i, 60, 1) for i in range(400)] + [(1000 + i, 1, 0) for i in range(3)], "id long, n int, loss int")
+    packed = packing.pack(df, "id", "n", "loss", 100, 8).collect()
+    assert sum(r.tokens for r in packed) == 400 * 60 + 3 and len({r.container for r in packed}) == 400
+    # segments fill containers that tokens don't
+    packed = packing.pack(spark.createDataFrame([(i, 1, 1) for i in range(800)], "id long, n int, loss int"), "id", "n", "loss", 100, 8).collect()
+    assert len({r.container for r in packed}) <= 104
+
+
+def test_two_lengths_of_one_row_are_counted(spark):
+    from skein.llm.plans import TOKEN_PATTERN, TOKENIZER
+
+    df = spark.createDataFrame([(1, "Hello world", "Hello"), (2, None, "x"), (3, "", "")], "id long, a string, b string")
+    got = {tuple(r) for r in packing.token_counts(df, "id", ["a", "b"], packing.Tokenizer(TOKENIZER, TOKEN_PATTERN)).collect()}
+    assert got == {(1, 2, 1), (3, 0, 0)}
