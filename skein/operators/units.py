@@ -3,13 +3,14 @@
 Method. Units are nodes of a graph, conversions are edges with affine functions (target = a * source + b, exact
 fractions). The shortest composition from every unit to the canonical unit of its dimension is computed once on the
 driver, and every cycle is checked to compose to the identity. The result, one row for each spelling of a unit, is a table
-of fixed size that the parsed values are equi-joined with on the source unit. Parsing and arithmetic are built-in
-expressions on exact decimals.
+of fixed size that the parsed values are equi-joined with on the source unit. Parsing is one pass of a pattern over each text;
+arithmetic is on exact decimals and never fails: what can't be converted comes out with a reason.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from fractions import Fraction as Q
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -211,20 +212,17 @@ _DIGITS = r"(?:\d{1,3}(?:[ ']\d{3})+|\d+)(?:[.,]\d+)?"
 _POWER = r"(?:[eE][-+]?\d+|\s*[x×·*]\s*10\s*\^?\s*[-+]?\d+)?"
 _TOLERANCE = r"(?:\s*(?:±|\+/-|\+-)\s*\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?)?"
 #: words before the number; the number; its power of ten; a tolerance; the rest, which must be a unit as a whole.
-QUANTITY = rf"^([^\d+-]*?)\s*([-+]?{_DIGITS})({_POWER}){_TOLERANCE}\s*(\D.*)?$"
+QUANTITY = rf"^([^\d+-]*)([-+]?{_DIGITS})({_POWER}){_TOLERANCE}\s*(\D.*)?$"
 
 
 def plain(text: Column) -> Column:
-    """Unicode digits above the line, minus signs, micro, ohm and angstrom signs and blanks in one form."""
-    text = F.regexp_replace(text, r"10\s*(?=[⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹])", "10^")
+    """℃ and ℉ as two characters, digits above the line, minus signs, micro, ohm and angstrom signs and blanks in one form."""
     blanks = "".join(map(chr, [0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000]))
-    text = F.translate(text, "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺−" + blanks + "μΩÅK％’", "0123456789-+-" + " " * len(blanks) + "µΩÅK%'")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def _with_degree(text: Column) -> Column:
-    """℃ and ℉ as the two characters they stand for."""
-    return F.replace(F.replace(text, F.lit("℃"), F.lit("°C")), F.lit("℉"), F.lit("°F"))
+    special = F.replace(F.replace(text, F.lit("℃"), F.lit("°C")), F.lit("℉"), F.lit("°F"))
+    special = F.regexp_replace(special, r"10\s*(?=[⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹])", "10^")
+    special = F.translate(special, "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺−" + blanks + "μΩÅK％’", "0123456789-+-" + " " * len(blanks) + "µΩÅK%'")
+    text = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(special)
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
 
 
 def _digits_for_words(text: Column) -> Column:
@@ -232,55 +230,82 @@ def _digits_for_words(text: Column) -> Column:
     words = "|".join(sorted(NUMBER_WORDS, key=lambda w: -len(w)))
     word = F.lower(F.regexp_extract(text, rf"(?i)(?:^|[\s~≈:])({words})(?=\s)", 1))
     value = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, str(n))])[word]
-    spoken = ~text.rlike(r"\d") & (word != "")
-    return F.when(spoken, F.concat(value, F.regexp_extract(text, rf"(?i)(?:^|[\s~≈:])(?:{words})(\s.*)$", 1))).otherwise(text)
+    spoken = F.when(word == "", text).otherwise(F.concat(value, F.regexp_extract(text, rf"(?i)(?:^|[\s~≈:])(?:{words})(\s.*)$", 1)))
+    return F.when(text.rlike("[0-9]"), text).otherwise(spoken)
+
+
+_MARK = "\x01"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once. As a lambda it also stays out of whole-stage code, where these patterns
+    made methods too large for the JVM to compile."""
+    return F.transform(F.array(value), then)[0]
 
 
-def number_and_unit(text: Column) -> tuple[Column, Column]:
-    """(value as decimal, unit or empty) of a text with a single quantity; null value if there is none.
+def number_and_unit(text: Column) -> Column:
+    """struct(number as text, unit or empty) of a text with a single quantity, else null.
 
     A range has a second number where the unit should be, so what is left of it names no unit.
     """
-    t = _digits_for_words(plain(_with_degree(text)))
-    digits = F.regexp_extract(t, QUANTITY, 2)
-    digits = F.regexp_replace(F.translate(digits, " '+", ""), ",", ".")
-    power = F.regexp_extract(F.regexp_extract(t, QUANTITY, 3), r"([-+]?\d+)$", 1)
-    number = F.concat(digits, F.when(power != "", F.concat(F.lit("e"), power)).otherwise(F.lit("")))
-    return number.try_cast("decimal(38,12)"), F.trim(F.regexp_extract(t, QUANTITY, 4))
+    marked = lambda t: F.split(F.regexp_replace(t, QUANTITY, f"{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK)
+    return _let(text, lambda raw: _let(plain(raw), lambda t: _let(_digits_for_words(t), lambda d: _let(marked(d), lambda parts: F.when(F.size(parts) == 4, _number_of(parts))))))
 
 
-def unit_key(unit: Column) -> Column:
-    return plain(_with_degree(unit))
+def _number_of(parts: Column) -> Column:
+    digits, power = F.translate(parts[1], ",'+ ", "."), F.regexp_extract(parts[2], r"([-+]?\d+)$", 1)
+    return F.struct(F.when(parts[2] == "", digits).otherwise(F.concat(digits, F.lit("e"), power)).alias("number"), F.trim(parts[3]).alias("unit"))
 
 
-def canonical_quantities(records: DataFrame, key: str, value: str, unit: str, text: str, qualifier: str) -> DataFrame:
-    """key, dimension, base_value: every record that states a single value of a known dimension, in the canonical unit.
+def _looked_up(df: DataFrame, name: Column, out: str, conversions: DataFrame) -> DataFrame:
+    """df with the conversion of a unit's name, null if no unit is spelled so: equi-joins with the spellings of fixed letter
+    case and, where those have none, with the others. Both tables are of fixed size."""
+    conversion = F.struct("dimension", "multiplier", "offset", "divisor", "spelling")
+    df = df.withColumn("_name", name).withColumn("_folded", F.lower("_name"))
+    for any_case, key in ((False, "_name"), (True, "_folded")):
+        known = F.broadcast(conversions.where(F.col("any_case") == any_case).select(F.col("spelling").alias(f"_key_{key}"), conversion.alias(f"_unit_{key}")))
+        df = df.join(known, F.col(key) == F.col(f"_key_{key}"), "left")
+    return df.withColumn(out, F.coalesce("_unit__name", "_unit__folded")).drop("_name", "_folded", "_key__name", "_key__folded", "_unit__name", "_unit__folded")
+
+
+def judged_quantities(records: DataFrame, key: str, value: str, unit: str, text: str, qualifier: str) -> DataFrame:
+    """key, dimension, base_value, reason: what every record states, in the canonical unit, or why there is no value.
 
     The text counts first if it has both a number and a unit, then the value with a unit of its own, then the value with
-    the unit field, then the value with the unit of the text, then the number of the text with the unit field. Nulls in any
-    column make that source empty; ranges and words without a number give no row; repeated rows give one.
+    the unit field, then the number of the text with the unit field. Nulls in any column make that source empty. reason is
+    null beside a value, else 'no single number', 'unknown unit', 'other percentage', 'out of range' (beyond 64 bits or
+    exact decimals) or 'below the base unit' (not zero, but rounded to it). Null keys give no row; repeated rows give one.
     """
     conversions = conversion_table(records.sparkSession)
-    text_number, text_unit = number_and_unit(F.col(text))
-    value_number, value_unit = number_and_unit(F.col(value))
-    parsed = records.select(
-        F.col(key), F.col(qualifier).alias("q"), text_number.alias("tn"), text_unit.alias("tu"), value_number.alias("vn"), value_unit.alias("vu"), unit_key(F.col(unit)).alias("u")
-    ).where(F.col(key).isNotNull() & (F.col("tn").isNotNull() | F.col("vn").isNotNull()))
-    choices = F.array(
-        F.struct(F.lit(0).alias("rank"), F.col("tn").alias("n"), F.col("tu").alias("name")),
-        F.struct(F.lit(1).alias("rank"), F.col("vn").alias("n"), F.col("vu").alias("name")),
-        F.struct(F.lit(2).alias("rank"), F.col("vn").alias("n"), F.when(F.col("vu") == "", F.col("u")).alias("name")),
-        F.struct(F.lit(3).alias("rank"), F.col("tn").alias("n"), F.when(F.col("tu") == "", F.col("u")).alias("name")),
+    known = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(qualifier).alias("_q"), F.col(value).alias("_v"), F.col(unit).alias("_u"), number_and_unit(F.col(text)).alias("_t"))
+    known = _looked_up(known, F.col("_t.unit"), "_c0", conversions)
+    open_ = F.col("_c0").isNull()
+    known = known.withColumn("_n", F.when(open_, number_and_unit(F.col("_v")))).withColumn("_p", _let(F.when(open_, F.col("_u")), plain))
+    known = _looked_up(known, F.col("_n.unit"), "_c1", conversions)
+    known = _looked_up(known, F.col("_p"), "_c2", conversions)
+    choice = lambda number, c: F.struct(number.alias("n"), F.col(c).alias("c"))
+    picked = (
+        F.when(~open_, choice(F.col("_t.number"), "_c0"))
+        .when(F.col("_c1").isNotNull(), choice(F.col("_n.number"), "_c1"))
+        .when(F.col("_c2").isNotNull() & (F.col("_n.unit") == ""), choice(F.col("_n.number"), "_c2"))
+        .when(F.col("_c2").isNotNull() & (F.col("_t.unit") == ""), choice(F.col("_t.number"), "_c2"))
     )
-    known = F.broadcast(conversions)  # fixed size: the spellings listed in this module
-    names = {True: [], False: []}
-    for spelling, any_case, *_ in conversion_rows():
-        names[any_case].append(spelling)
-    is_unit = lambda c: F.coalesce(c["n"].isNotNull() & (c["name"].isin(names[False]) | F.lower(c["name"]).isin(names[True])), F.lit(False))
-    picked = parsed.select(key, "q", F.get(F.filter(choices, is_unit), F.lit(0)).alias("c")).where("c is not null")
-    exact = F.col("c.name").isin(names[False])
-    spelled = picked.select(key, "q", F.col("c.n").alias("n"), F.when(exact, F.col("c.name")).otherwise(F.lower("c.name")).alias("name"), (~exact).alias("folded"))
-    joined = spelled.join(known, (F.col("name") == F.col("spelling")) & (F.col("folded") == F.col("any_case")))
-    humid = F.upper(F.trim("q")).isin(OTHER_PERCENT) & F.col("name").isin(BARE_PERCENT)
-    base = (F.col("n") * F.col("multiplier").cast("decimal(16,0)") + F.col("offset")) / F.col("divisor").cast("decimal(6,0)")
-    return joined.where(~F.coalesce(humid, F.lit(False))).select(key, "dimension", F.round(base, 0).cast("long").alias("base_value")).distinct()
+    counted = F.col("_t").isNotNull() | F.col("_n").isNotNull()
+    at = known.select("_k", "_q", counted.alias("counted"), picked.alias("x")).select("_k", "_q", "counted", "x.n", "x.c.*")
+    number = F.col("n").try_cast("decimal(38,12)")
+    scaled = F.try_add(F.try_multiply(number, F.col("multiplier").cast("decimal(16,0)")), F.col("offset").cast("decimal(16,0)"))
+    base = F.round(F.try_divide(scaled, F.col("divisor").cast("decimal(6,0)")), 0).try_cast("long")
+    humid = F.coalesce(F.upper(F.trim("_q")).isin(OTHER_PERCENT) & F.col("spelling").isin(BARE_PERCENT), F.lit(False))
+    at = at.withColumn("base", base)
+    reason = (
+        F.when(~F.col("counted"), "no single number").when(F.col("spelling").isNull(), "unknown unit").when(humid, "other percentage").when(F.col("base").isNull(), "out of range")
+        .when((F.col("base") == 0) & (F.col("offset") == 0) & F.col("n").rlike("^[^eE]*[1-9]"), "below the base unit")
+    )
+    at = at.withColumn("reason", reason)
+    return at.select(F.col("_k").alias(key), "dimension", F.when(F.col("reason").isNull(), F.col("base")).alias("base_value"), "reason").distinct()
+
+
+def canonical_quantities(records: DataFrame, key: str, value: str, unit: str, text: str, qualifier: str) -> DataFrame:
+    """key, dimension, base_value: every record that states a single value of a known dimension, in the canonical unit; see
+    judged_quantities for the order of the sources and for the records left out."""
+    return judged_quantities(records, key, value, unit, text, qualifier).where("reason is null").drop("reason")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.io import table
 from skein.operators import orphans, units
@@ -24,7 +25,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return units.canonical_quantities(table(spark, folder, "annotations"), "assertion_id", "raw_value", "unit", "raw_text", "qualifier_type")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
+def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Assertions without a value in a canonical unit, by reason."""
+    judged = units.judged_quantities(table(spark, folder, "annotations"), "assertion_id", "raw_value", "unit", "raw_text", "qualifier_type")
+    return judged.where("reason is not null").groupBy("reason").agg(F.count_distinct("assertion_id").alias("assertions"))
+
+
+QUERIES = {"p3_reasons": p3_reasons, "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
 
 _P1 = r"""
 WITH r AS (
@@ -55,24 +62,27 @@ def _p3() -> str:
         return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
     pattern = quote(units.QUANTITY)
-    number = lambda t: rf"""(TRY_CAST(replace(translate(regexp_extract({t}, {pattern}, 2), ' ''+', ''), ',', '.') || coalesce('e' || nullif(regexp_extract(regexp_extract({t}, {pattern}, 3), '([-+]?\d+)$', 1), ''), '') AS DECIMAL(38, 12)) * 1000000000000::HUGEINT)::HUGEINT"""
+    spelled = lambda t: rf"""replace(translate(regexp_extract({t}, {pattern}, 2), ' ''+', ''), ',', '.') || coalesce('e' || nullif(regexp_extract(regexp_extract({t}, {pattern}, 3), '([-+]?\d+)$', 1), ''), '')"""
+    number = lambda t: f"(TRY_CAST({spelled(t)} AS DECIMAL(38, 12)) * 1000000000000::HUGEINT)::HUGEINT"
     unit = lambda t: f"trim(regexp_extract({t}, {pattern}, 4))"
     return rf"""
     WITH k(spelling, folded, dimension, multiplier, plus, divisor) AS (VALUES {values}), w(word, digits) AS (VALUES {words}),
-    a AS (SELECT DISTINCT assertion_id, raw_text, raw_value, unit, qualifier_type FROM annotations),
+    a AS (SELECT DISTINCT assertion_id, raw_text, raw_value, unit, qualifier_type FROM annotations WHERE assertion_id IS NOT NULL),
     b AS (SELECT assertion_id, upper(trim(qualifier_type)) AS q, {plain("raw_text")} AS t0, {plain("raw_value")} AS v, {plain("unit")} AS u FROM a),
-    c AS (SELECT b.*, CASE WHEN NOT regexp_matches(t0, '\d') AND w.digits IS NOT NULL THEN w.digits || regexp_extract(t0, '(?i)(?:^|[\s~≈:])(?:{any_word})(\s.*)$', 1) ELSE t0 END AS t
+    c AS (SELECT b.*, row_number() OVER () AS row, CASE WHEN NOT regexp_matches(t0, '\d') AND w.digits IS NOT NULL THEN w.digits || regexp_extract(t0, '(?i)(?:^|[\s~≈:])(?:{any_word})(\s.*)$', 1) ELSE t0 END AS t
       FROM b LEFT JOIN w ON lower(regexp_extract(t0, '(?i)(?:^|[\s~≈:])({any_word})\s', 1)) = w.word),
-    n AS (SELECT assertion_id, q, u, {number("t")} AS tn, {unit("t")} AS tu, {number("v")} AS vn, {unit("v")} AS vu FROM c),
-    o AS (SELECT assertion_id, q, unnest([{{'r': 0, 'n': tn, 'name': tu}}, {{'r': 1, 'n': vn, 'name': vu}}, {{'r': 2, 'n': CASE WHEN vu = '' THEN vn END, 'name': u}}, {{'r': 3, 'n': CASE WHEN tu = '' THEN tn END, 'name': u}}]) AS x FROM n),
-    m AS (SELECT o.assertion_id, o.q, x.r, x.n, k.* FROM o JOIN k ON (NOT k.folded AND x.name = k.spelling) OR (k.folded AND lower(x.name) = k.spelling AND x.name NOT IN (SELECT spelling FROM k WHERE NOT folded)) WHERE x.n IS NOT NULL),
-    f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY assertion_id ORDER BY r) = 1)
-    SELECT DISTINCT assertion_id, dimension, ((n * multiplier + plus * 1000000000000 + divisor * 500000000000) // (divisor * 1000000000000))::BIGINT AS base_value
-    FROM f WHERE NOT coalesce(q = 'HUMIDITY' AND spelling IN ('%', 'percent', 'per cent', 'prozent'), false)"""
+    n AS (SELECT row, assertion_id, q, u, {number("t")} AS tn, {unit("t")} AS tu, {number("v")} AS vn, {unit("v")} AS vu FROM c),
+    o AS (SELECT row, assertion_id, q, unnest([{{'r': 0, 'n': tn, 'name': tu}}, {{'r': 1, 'n': vn, 'name': vu}}, {{'r': 2, 'n': CASE WHEN vu = '' THEN vn END, 'name': u}}, {{'r': 3, 'n': CASE WHEN tu = '' THEN tn END, 'name': u}}]) AS x FROM n),
+    m AS (SELECT o.row, o.assertion_id, o.q, x.r, x.n, k.* FROM o JOIN k ON (NOT k.folded AND x.name = k.spelling) OR (k.folded AND lower(x.name) = k.spelling AND x.name NOT IN (SELECT spelling FROM k WHERE NOT folded)) WHERE x.n IS NOT NULL),
+    f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY row ORDER BY r) = 1),
+    g AS (SELECT n.assertion_id, f.dimension, ((f.n * f.multiplier + f.plus * 1000000000000 + f.divisor * 500000000000) // (f.divisor * 1000000000000))::BIGINT AS base_value,
+      CASE WHEN tn IS NULL AND vn IS NULL THEN 'no single number' WHEN f.row IS NULL THEN 'unknown unit' WHEN coalesce(f.q = 'HUMIDITY' AND f.spelling IN ('%', 'percent', 'per cent', 'prozent'), false) THEN 'other percentage' END AS reason
+      FROM n LEFT JOIN f USING (row))"""
 
 
 ORACLE = {
-    "p3_found": _p3(),
+    "p3_found": _p3() + " SELECT DISTINCT assertion_id, dimension, base_value FROM g WHERE reason IS NULL",
+    "p3_reasons": _p3() + " SELECT reason, count(DISTINCT assertion_id) AS assertions FROM g WHERE reason IS NOT NULL GROUP BY reason",
     "p1_found": _P1,
     "p1_report": f"SELECT record_table, field_name, period, count(*) AS orphans FROM ({_P1}) GROUP BY ALL",
 }

@@ -39,7 +39,23 @@ CASES = [
     (("ad", None, None, "40 %", "HUMIDITY"), None),
     (("ae", None, None, "40 %", "conc."), ("CONCENTRATION", 400000000)),
     (("af", None, None, "6.5 Gohm"), ("RESISTANCE", 6500000000000)),
+    (("ag", "2", "km", None), ("LENGTH", 2000000000000000)),
+    (("ah", None, None, "9000 km"), ("LENGTH", 9000000000000000000)),
+    (("ai", None, None, "20000 km"), None),
+    (("aj", "384400", "km", None), None),
+    (("ak", None, None, "1e20 km"), None),
+    (("al", None, None, "1e99 km"), None),
+    (("am", None, None, "0.4 ppb"), None),
+    (("an", None, None, "0.0 ppb"), ("CONCENTRATION", 0)),
 ]
+REASONS = {"d": "unknown unit", "q": "no single number", "t": "unknown unit", "ac": "no single number", "ad": "other percentage", "ai": "out of range", "aj": "out of range", "ak": "out of range", "al": "out of range", "am": "below the base unit"}
+
+
+def test_records_without_a_value_have_a_reason(spark):
+    df = spark.createDataFrame([(*(c if len(c) == 5 else (*c, None)), None, 1) for c, _ in CASES] + [(None, "1", "K", None, None, None, 1)], SCHEMA)
+    got = {r.id: (r.base_value, r.reason) for r in units.judged_quantities(df, "id", "value", "unit", "text", "kind").collect()}
+    assert {k: (None, v) for k, v in REASONS.items()}.items() <= got.items()
+    assert all((reason is None) == (want is not None) for (c, want) in CASES for reason in [got[c[0]][1]])
 
 
 def test_every_notation(spark):
