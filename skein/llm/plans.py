@@ -63,6 +63,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p2_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """The letters and digits of all sentence units of a record, over its distinct texts, and whether no unit is blank at an end."""
+    texts = table(spark, folder, "candidate_evidence").where("evidence_id is not null and text is not null").select("evidence_id", "text").distinct()
+    units = texts.select("evidence_id", "text", F.explode(sentences.spans_of("text")).alias("s"))
+    unit = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    letters = F.char_length(F.regexp_replace(unit, r"[^\p{L}\p{N}]", ""))
+    return units.groupBy("evidence_id").agg(F.sum(letters).alias("letters"), F.every((unit == F.trim(unit)) & (unit != "")).alias("trimmed"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     mentions = table(spark, folder, "concept_mentions").where("mention_id is not null")
     fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("canonical_name", "surface_text")])
@@ -118,7 +127,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_instruct": p8_instruct, "p8_chars": p8_chars, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
+QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_instruct": p8_instruct, "p8_chars": p8_chars, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_cover": p2_cover, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 ORACLE = {
     "p4_found": r"""
@@ -138,6 +147,9 @@ ORACLE = {
         r AS (SELECT 'relation_type' AS field_name, relation_type AS term, count(*) AS occurrences, count(*) AS records, count(*) AS weight FROM a WHERE relation_type IS NOT NULL GROUP BY relation_type)
         SELECT t.*, CASE WHEN records > 0.1 * (SELECT count(*) FROM c) THEN 'common' WHEN weight <= 2 THEN 'rare' END AS mark FROM t
         UNION ALL SELECT r.*, CASE WHEN records > 0.1 * (SELECT count(*) FROM a) THEN 'common' WHEN records <= 2 THEN 'rare' END FROM r""",
+    "p2_cover": r"""
+        SELECT evidence_id, sum(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')))::BIGINT AS letters, true AS trimmed
+        FROM (SELECT DISTINCT evidence_id, text FROM candidate_evidence WHERE evidence_id IS NOT NULL AND regexp_matches(text, '\S')) GROUP BY evidence_id""",
     "p8_chars": r"""
         SELECT doc_id, length(text) AS size, length(text) - length(text) // 8 AS loss, length(text) > 2048 OR length(text) - length(text) // 8 > 1900 AS split, true AS kept, true AS within
         FROM documents WHERE doc_id IS NOT NULL""",

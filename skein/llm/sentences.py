@@ -6,7 +6,9 @@ by its length, its opening word, its closing word and whether quotation marks an
 Abbreviations, ordinals, list numbers, decimals, initials and quoted sentences are thus weighed against what follows them.
 Scripts without letter case or blanks are scored by the particles that can't begin a sentence.
 
-All known languages are scored together, since the claimed language of a record may be wrong or missing. Offsets are
+The claimed language of a record may be wrong or missing and a text may mix languages, so an abbreviation is judged in the
+language of the words around it. What it counts for depends on its kind and on what follows: some are always followed by
+something, some only by a number, some may close a sentence if the next word is one that opens sentences. Offsets are
 half-open code-point spans.
 """
 
@@ -23,14 +25,50 @@ from pyspark.sql import types as T
 
 from skein.session import dealt
 
-# Abbreviations in lower case, without the last period.
+# Abbreviations by language in lower case, without the last period.
 #: Something always follows these.
-NEVER_LAST = set(
-    """e.g i.e cf fig figs eq eqs sec secs tab ref refs no nos vs viz approx ca std dev al resp dr mr mrs ms prof st vol ch p pp ed eds incl max
-    z z.b b d d.h h bzw vgl abb abschn nr mind inkl evtl ggf sog tel str bd kap gl tab hr fr
-    p.ex ex env art fig no tél m mm mme mlle chap éq réf av c.-à-d
-    т т.е т.к т.н ок см рис разд табл п пп гл ср напр т.д г.н ул кв стр проф им тел гр
-    मि मि.ग्रा ग्रा डॉ सं कि.मी से.मी कि से श्री प्रो पृ""".split()
+ALWAYS = {
+    "en": "e.g i.e cf vs viz approx ca std dr mr mrs ms prof",
+    "de": "z z.b b d d.h bzw vgl inkl evtl ggf sog bd hr fr dr prof ca tel",
+    "fr": "p.ex ex env c.-à-d m mm mme mlle cf réf av dr",
+    "ru": "т т.е т.к т.н см напр т.д ср ул проф им тел",
+    "hi": "मि मि.ग्रा ग्रा डॉ सं कि.मी से.मी कि से श्री प्रो पृ",
+}
+#: A number, a label or a symbol follows these.
+NUMBERED = {
+    "en": "fig figs eq eqs sec secs tab tabs ref refs no nos vol ch p pp ed eds art",
+    "de": "abb abschn nr mind kap gl tab str art bd max min",
+    "fr": "fig no tab chap éq art tél p",
+    "ru": "рис разд табл п пп гл стр кв ок г гг",
+    "hi": "",
+}
+#: These close a sentence if a word follows that opens sentences.
+MAY_CLOSE = {"en": "resp al dev st incl max min", "de": "h b str inkl std", "fr": "", "ru": "", "hi": ""}
+#: What is an abbreviation in another language only, and here a word like any other.
+ORDINARY = {
+    "en": set("mind str tel env bd b h m p c z d".split()),
+    "de": set("no fig art".split()),
+    "fr": set("sec dev mind max".split()),
+}
+#: Units of time behind a number.
+TIMES = {"min", "sec", "std", "hr", "hrs"}
+ABBREVIATIONS: dict[str, dict[str, str]] = {}
+for _kind, _lists in (("always", ALWAYS), ("numbered", NUMBERED), ("may_close", MAY_CLOSE)):
+    for _lang, _words in _lists.items():
+        for _word in _words.split():
+            ABBREVIATIONS.setdefault(_word, {})[_lang] = _kind
+#: Words by which the language of a passage is told.
+FUNCTION_WORDS = {
+    "en": set("the of and is was to in for with at by this that it from are were has be an on as after".split()),
+    "de": set("der die das und ist war wird von mit bei in im zur zum nach nicht ein eine dem den auf aus des als für wurde sind".split()),
+    "fr": set("le la les de des et est du une un dans par pour avec sur au en pas ce cette sont l'art".split()),
+}
+#: Capitalized words that open a sentence more likely than they go on with one.
+OPENERS = set(
+    """the this these that those it its he she they we you i there here in on at for from with when where while if as after before since because although however thus therefore moreover then a an our all each some no both what why how who does did is are
+    die der das den dem ein eine es er sie wir ich danach dann dort hier im am bei nach vor wenn als da weil jedoch daher somit alle jede diese dieser dieses was wie warum wer ist sind
+    le la les un une il elle ils elles nous ce cette ces dans en sur pour par avec quand si car ainsi puis alors ensuite est
+    в на из при по для это эта этот эти он она оно они мы я если когда затем потом после однако поэтому все каждый что как почему""".split()
 )
 #: A sentence may end in these.
 MAY_BE_LAST = set("etc usw др пр т.п т.д inc ltd corp co u.s u.k s.a a.u r.h r.p.m a.c d.c a.m p.m г гг в д jr sr ph.d u.a u.ä i.d.r с.-р min sec".split())
@@ -53,6 +91,7 @@ _MIXED_START = re.compile(r"^[a-zα-ω]{1,2}-?[A-Z]")
 _LAST_PART = re.compile(r"[^.!?…]*$")
 _NUMBER = re.compile(r"^\(?\d{1,3}$")
 _AMOUNT = re.compile(r"(?:^|[\s(])\d[\d.,]*\s*$")
+_ELISION = re.compile(r"^(?:[ldcjmnst]|qu)['’](?=\w)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 
@@ -83,6 +122,36 @@ def _quote_depth(block: str) -> np.ndarray:
     return np.cumsum(step)
 
 
+def _language(block: str, mark: int, end: int) -> str:
+    """The language in Latin letters of the words around a mark, empty if they don't tell."""
+    around = block[max(0, mark - 120) : mark].lower().split()[1:-1] + block[end : end + 60].lower().split()[:-1]
+    counts = sorted(((sum(w in words for w in around), lang) for lang, words in FUNCTION_WORDS.items()), reverse=True)
+    return counts[0][1] if counts[0][0] > counts[1][0] else ""
+
+
+def _abbreviation_score(block: str, mark: int, end: int, word: str) -> float | None:
+    """How well a sentence closes with an abbreviation, by its kind and what follows; None for an ordinary word."""
+    kinds = ABBREVIATIONS[word]
+    if set(kinds) <= {"ru", "hi"}:
+        kind = next(iter(kinds.values()))
+    else:
+        lang = _language(block, mark, end)
+        if lang not in kinds and word in ORDINARY.get(lang, ()):
+            return None
+        # in another language the strictest of the kinds counts
+        kind = kinds.get(lang) or min(kinds.values())
+    following = block[end : end + 30].split(None, 1)
+    bare = following[0].strip("([{«„“\"'‘.,;:)") if following else ""
+    if kind == "always":
+        return -8.0
+    opens = bare[:1].isupper() and bare.lower() in OPENERS and len(bare) > 1
+    if kind == "may_close":
+        return 2.0 if opens else -8.0
+    if bare[:1].isupper() and bare[1:].islower() and (opens or len(bare) > 3) and not any(c.isdigit() for c in bare):
+        return 2.0 if opens else -2.0
+    return -8.0
+
+
 def _closing_score(block: str, mark: int, end: int) -> float:
     """How well a sentence closes with the word before the mark at `mark`; closing marks end at `end`."""
     run = block[mark:end].rstrip(CLOSING)
@@ -100,19 +169,25 @@ def _closing_score(block: str, mark: int, end: int) -> float:
         previous = _TOKEN.search(start).group().lower()
         # a number alone at the beginning, or behind a sentence, opens a list entry
         unit = re.search(r"(?:^|[\s(])\d[\d.,]*\s*\w{1,2}\.$", start)
-        if not start or (start[-1] in END + CLOSING + "“" and (unit or previous.rstrip(".") not in NEVER_LAST) and not previous.endswith((")", "]"))):
+        if not start or (start[-1] in END + CLOSING + "“" and (unit or previous.rstrip(".") not in ABBREVIATIONS) and not previous.endswith((")", "]"))):
             return -8.0
         if previous in BEFORE_ORDINAL:
             return -3.0
         return 1.5
-    core = low.rstrip(".")
+    core = _ELISION.sub("", low.rstrip("."))
     if len(core) <= 2 and core.isalpha() and _AMOUNT.search(before):
         return 2.0  # a unit behind its number
-    if core in NEVER_LAST or core.split("-")[-1] in ("bzw",):
-        return -8.0
-    last = _LAST_PART.search(core).group()
-    if len(core) > len(last) > 1 and last in NEVER_LAST:
-        return -8.0  # glued to the sentence before
+    if core in TIMES and _AMOUNT.search(before):
+        return 2.0
+    known = core if core in ABBREVIATIONS else "bzw" if core.endswith("-bzw") else "str" if core.endswith("str") and len(core) > 5 else ""
+    if not known:
+        last = _LAST_PART.search(core).group()
+        if len(core) > len(last) > 1 and last in ABBREVIATIONS:
+            known = last  # glued to the sentence before
+    if known:
+        score = _abbreviation_score(block, mark, end, known)
+        if score is not None:
+            return score
     if core in MAY_BE_LAST:
         return 0.5
     tail = core.rsplit(".", 1)[-1]
@@ -168,51 +243,48 @@ def _opening_score(block: str, mark: int, end: int, start: int) -> float:
     return -1.0 if c in "-–—,;:)%" else 0.0
 
 
-def _length_scores(lengths: np.ndarray) -> np.ndarray:
-    """Mild preference for spans of some tens of characters; next to nothing is no sentence."""
-    n = np.maximum(lengths, 1)
-    score = -0.12 * np.abs(np.log(n / 80.0))
-    return np.where(lengths < 2, -8.0, score)
+#: Mild preference for spans of some tens of characters; next to nothing is no sentence.
+LENGTH_WEIGHT, USUAL_LENGTH = 0.12, 80.0
+#: Cost of a mark that isn't outside of all quotation marks and brackets.
+UNBALANCED = 9.0
+
 
+def _program(starts: list[int], ends: list[int], opening: list[float], closing: list[float], deep: list[int]) -> list[int]:
+    """Where the best span that ends at each candidate begins.
 
-def _few(starts: list[int], ends: list[int], opening: list[float], closing: list[float], deep: list[int]) -> list[int]:
-    """Where the best span that ends at each candidate begins: the program in plain numbers, for few candidates."""
-    best, back = [0.0], [0]
+    The length term lies between 0 and -bound for spans of two characters and more, so a start that trails another by more
+    than the bound can't win for any later end, and is dropped; few starts stay, whatever the number of candidates.
+    """
+    bound = LENGTH_WEIGHT * max(abs(math.log(2 / USUAL_LENGTH)), abs(math.log(max(2, ends[-1]) / USUAL_LENGTH)))
+    back = [0]
+    alive = [(opening[0] - UNBALANCED * (deep[0] != 0), 0)]
     for j in range(1, len(ends) + 1):
-        end, cost = ends[j - 1], 9.0 * (deep[j] != 0)
+        end = ends[j - 1]
         top, at = -math.inf, 0
-        for i in range(j):
+        for value, i in alive:
             n = end - starts[i]
-            score = best[i] + opening[i] - 9.0 * (deep[i] != 0) + (-0.12 * abs(math.log(n / 80.0)) if n >= 2 else -8.0)
+            score = value + (-LENGTH_WEIGHT * abs(math.log(n / USUAL_LENGTH)) if n >= 2 else -8.0)
             if score > top:
                 top, at = score, i
-        best.append(top + closing[j - 1] - cost)
         back.append(at)
+        if j == len(ends):
+            break
+        following = ends[j]
+        alive.append((top + closing[j - 1] - UNBALANCED * (deep[j] != 0) + opening[j] - UNBALANCED * (deep[j] != 0), j))
+        if len(alive) > 4:
+            least = max((v for v, i in alive if following - starts[i] >= 2), default=-math.inf) - bound
+            alive = [a for a in alive if a[0] >= least]
     return back
 
 
-def _many(starts: list[int], ends: list[int], opening: list[float], closing: list[float], deep: list[int]) -> list[int]:
-    """The same over arrays, for many candidates."""
-    n = len(ends)
-    s, e = np.array(starts), np.array(ends)
-    o, c, d = np.array(opening), np.array(closing), np.array(deep)
-    best, back = np.full(n + 1, -math.inf), np.zeros(n + 1, dtype=np.int64)
-    best[0] = 0.0
-    for j in range(1, n + 1):
-        # spans from start i to end j - 1
-        unbalanced = (d[:j] != 0).astype(float) + float(d[j] != 0)
-        score = best[:j] + o[:j] + _length_scores(e[j - 1] - s[:j]) - 9.0 * unbalanced
-        i = int(np.argmax(score))
-        best[j], back[j] = score[i] + c[j - 1], i
-    return back.tolist()
-
-
 def _block_spans(block: str) -> list[tuple[int, int]]:
     """Spans of the sentences of a block that neither starts nor ends with white space."""
     depth = _quote_depth(block)
     ends, starts, closing, opening, deep = [], [0], [], [0.0], [0]
     for m in _ENDS.finditer(block):
         end = m.end()
+        if m.group() == "." and block[end : end + 1].isdigit() and block[m.start() - 1 : m.start()].isdigit():
+            continue  # part of a number
         while end < len(block) and (block[end] in CLOSING or (block[end] == "“" and depth[end + 1] < depth[end])):
             end += 1
         # a blank before a closing guillemet
@@ -226,13 +298,10 @@ def _block_spans(block: str) -> list[tuple[int, int]]:
         if ends and ends[-1] >= end:
             continue
         mark = m.end() - 1 if len(m.group()) == 1 else m.start()
-        c, o = _closing_score(block, mark, end), _opening_score(block, mark, end, start)
-        if c + o < -7.5:
-            continue
         ends.append(end)
         starts.append(start)
-        closing.append(c)
-        opening.append(o)
+        closing.append(_closing_score(block, mark, end))
+        opening.append(_opening_score(block, mark, end, start))
         deep.append(int(depth[end]))
     ends.append(len(block))
     closing.append(0.0)
@@ -240,7 +309,7 @@ def _block_spans(block: str) -> list[tuple[int, int]]:
     n = len(ends)
     if n == 1:
         return [(0, len(block))]
-    back = _few(starts, ends, opening, closing, deep) if n <= 32 else _many(starts, ends, opening, closing, deep)
+    back = _program(starts, ends, opening, closing, deep)
     spans, j = [], n
     while j:
         i = back[j]

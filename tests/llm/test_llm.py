@@ -352,14 +352,56 @@ def test_queries_have_sql_or_none():
     assert json.dumps(sorted(plans.QUERIES))
 
 
-def test_both_programs_agree():
+def test_the_program_equals_all_starts_for_all_ends():
+    import math
+
+    def whole(starts, ends, opening, closing, deep):
+        best, back = [0.0], [0]
+        for j in range(1, len(ends) + 1):
+            value = lambda i: best[i] + opening[i] - 9.0 * (deep[i] != 0) + (-0.12 * abs(math.log((ends[j - 1] - starts[i]) / 80.0)) if ends[j - 1] - starts[i] >= 2 else -8.0)  # noqa: B023, E731
+            back.append(max(range(j), key=value))
+            best.append(value(back[-1]) + closing[j - 1] - 9.0 * (deep[j] != 0))
+        return back
+
+    def path(back):
+        j, out = len(back) - 1, []
+        while j:
+            out.append(j)
+            j = back[j]
+        return out
+
     rng = random.Random(8)
-    for _ in range(50):
-        n = rng.randint(2, 30)
-        cuts = sorted(rng.sample(range(1, 2000), 2 * n))
+    for _ in range(300):
+        n = rng.randint(2, 60)
+        cuts = sorted(rng.sample(range(1, rng.choice([150, 2000, 100_000])), 2 * n))
         ends, starts = cuts[1::2], [0, *[c + 1 for c in cuts[1::2]][:-1]]
-        args = (starts, ends, [0.0, *[rng.uniform(-5, 2) for _ in range(n - 1)]], [*[rng.uniform(-5, 3) for _ in range(n - 1)], 0.0], [0, *[rng.randint(0, 1) for _ in range(n - 1)], 0])
-        assert sentences._few(*args) == sentences._many(*args)
+        low = rng.choice([-9, -5, 0])
+        args = (starts, ends, [0.0, *[rng.uniform(low, 2) for _ in range(n - 1)]], [*[rng.uniform(low, 3) for _ in range(n - 1)], 0.0], [0, *[rng.randint(0, 1) for _ in range(n - 1)], 0])
+        assert path(sentences._program(*args)) == path(whole(*args))
+
+
+def test_many_marks_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 32_000):
+        began = time.perf_counter()
+        sentences.sentence_spans("1. a, b. e.g. " * (n // 4))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 64 * took[0] + 1
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["This is known from the prior art.", "The invention improves on it."], ["He said no.", "The test went on."], ["It was put in the tab.", "The cell failed."], ["Er ging über die Str.", "Danach kam er."],
+        ["See Fig. 3 and Tab. 4.", "It is good."], ["Vgl. Art. 6 der Verordnung.", "Sie gilt."], ["As in No. 6 of the list.", "Ref. 7 says so."], ["As shown by Smith et al. in 1999, it held.", "Good."], ["Sie wohnt in der Lindenstr. 5 in Bonn.", "Er auch."],
+        ["Dr. Miller came.", "Prof. Otto left."], ["We use max. 5 and min. 6 of them.", "The value is at its max.", "Then it falls."], ["It held for 5 min.", "Samples were dried."], ["On le voit à l'art. 79 de la loi.", "Il est clair."],
+    ],
+)
+def test_abbreviations_by_language_and_what_follows(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.sentence_spans(text)] == parts
 
 
 def test_streams_of_many_texts_equal_each_alone():
