@@ -50,7 +50,17 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_pieces(spark, folder).where("piece = 1").select("chunk_id").distinct()
+    """Chunks that come out in more than one piece; only their keys are shuffled."""
+    return splitting.pieces_of(table(spark, folder, "graph_chunks"), "chunk_id", "text").where("piece = 1").select("chunk_id").distinct()
+
+
+def p7_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every distinct text of a chunk, joined without their overlaps, as a hash; and whether the bounds hold."""
+    cut = table(spark, folder, "graph_chunks").where("chunk_id is not null and text is not null").select("chunk_id", splitting.cut_text(F.col("text")).alias("c"))
+    joined = F.aggregate("c", F.lit(""), lambda done, p: F.concat(done, F.when(p["start"] == 0, p["text"]).otherwise(F.substr(p["text"], F.lit(101)))))
+    bound = F.forall("c", lambda p: F.char_length(p["text"]) <= 1200)
+    overlaps = F.forall(F.sequence(F.lit(1), F.size("c")), lambda i: (i == 1) | (F.right(F.get("c", i - 2)["text"], F.lit(1)) == F.substr(F.get("c", i - 1)["text"], F.lit(100), F.lit(1))))
+    return cut.select("chunk_id", F.md5(joined).alias("joined"), (F.size("c") > 1).alias("split"), bound.alias("bounded"), overlaps.alias("overlapping")).distinct()
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +137,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_instruct": p8_instruct, "p8_chars": p8_chars, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_cover": p2_cover, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces}
+QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_instruct": p8_instruct, "p8_chars": p8_chars, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_cover": p2_cover, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_joined": p7_joined}
 
 ORACLE = {
     "p4_found": r"""
@@ -153,6 +163,9 @@ ORACLE = {
     "p8_chars": r"""
         SELECT doc_id, length(text) AS size, length(text) - length(text) // 8 AS loss, length(text) > 2048 OR length(text) - length(text) // 8 > 1900 AS split, true AS kept, true AS within
         FROM documents WHERE doc_id IS NOT NULL""",
+    "p7_joined": """
+        SELECT DISTINCT chunk_id, md5(text) AS joined, length(text) > 1200 AS split, true AS bounded, true AS overlapping
+        FROM graph_chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL""",
     "p7_found": "SELECT DISTINCT chunk_id FROM graph_chunks WHERE length(text) > 1200",
 }
 ORACLE["p6_found"] = f"SELECT field_name, term, mark FROM ({ORACLE['p6_terms']}) WHERE mark IS NOT NULL"

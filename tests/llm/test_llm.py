@@ -92,7 +92,7 @@ def test_boundaries_in_the_first_half_are_taken(spark):
         "a": ["a" * 430 + "\n\n", "G" * 1000],
         "b": ["b" * 599 + "\n", "c" * 49 + " ", "G" * 1090],
         "c": ["b" * 599 + ". ", "c" * 9 + " ", "G" * 1100, "G" * 300],
-        "d": ["b" * 50 + " " + "G" * 1049, "G" * 300],  # too short for the overlap
+        "d": ["b" * 50 + " " + "G" * 1149, "G" * 200],  # too short for the overlap
     }
     df = spark.createDataFrame([(k, "".join(t)) for k, t in texts.items()], "k string, t string")
     rows = splitting.split_items(df, "k", "t").orderBy("k", "piece").collect()
@@ -103,6 +103,24 @@ def test_boundaries_in_the_first_half_are_taken(spark):
         assert all(whole[r.start : r.start + len(r.text)] == r.text for r in mine)
 
 
+def test_the_first_piece_takes_the_whole_limit(spark):
+    text = "a" * 1149 + ". " + "b" * 300
+    rows = splitting.split_items(spark.createDataFrame([("k", text)], "k string, t string"), "k", "t").orderBy("piece").collect()
+    assert [(r.start, len(r.text)) for r in rows] == [(0, 1151), (1051, 400)]
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (200_000, 3_200_000):
+        df = spark.createDataFrame([("k", "word and " * (n // 9))], "k string, t string")
+        began = time.perf_counter()
+        assert splitting.split_items(df, "k", "t").agg(F.max(F.length("text"))).first()[0] <= 1200
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0] + 3
+
+
 # problem 2
 SENTENCES = [
     ["The U.S. filing lists 9 embodiments, of which No. 6 uses ZnO.", "Batch Xm-3 contained NiO, CuO, etc.", "pH values below 3.1 matter.", "4. n-Type GaN failed!", "Does it?"],
