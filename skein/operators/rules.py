@@ -43,17 +43,35 @@ def finite_or_zero(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)), F.lit(0.0)).otherwise(x)
 
 
-_OPPOSITES = [("increase", "decrease"), ("rise", "fall"), ("high", "low"), ("above", "below"), ("n-type", "p-type"), ("oxidation", "reduction"), ("oxidising", "reducing"), ("hot", "cold")]
-
-
-def opposite_pair(a: Column, b: Column) -> Column:
-    """Whether two names are equal but for one word and its opposite."""
-    out = F.lit(False)
-    for x, y in _OPPOSITES:
-        for p, q in ((x, y), (y, x)):
-            swapped = F.regexp_replace(F.lower(a), rf"(?<![\w-]){p}(?![\w-])", q)
-            out = out | ((swapped == F.lower(b)) & (F.lower(a) != F.lower(b)))
-    return F.coalesce(out, F.lit(False))
+# What two names may not hold one each.
+#: Whatever else the names hold.
+VETOES = [
+    ("CARRIER_POLARITY", r"\bn\s*[- ]?type\b", r"\bp\s*[- ]?type\b"),
+    ("OXIDATION_REDUCTION", r"\boxid(?:ation|iz(?:e|ed|ing))\b", r"\breduction\b"),
+    ("ANALYTE", r"\bno\s*2\b", r"\bnh\s*3\b"),
+]
+#: If the names are equal without these.
+CONTRASTS = [(r"\bhigh\b", r"\blow\b"), (r"\bincrease(?:d|s)?\b", r"\bdecrease(?:d|s)?\b"), (r"\bwith\b", r"\bwithout\b"), (r"\bpositive\b", r"\bnegative\b")]
+
+
+def veto_reason(a: Column, b: Column) -> Column:
+    """Why two names may never merge, or null: they hold two sides of an opposition in any order and letter case. Some hold
+    whatever else the names say, some only between names that are equal, and not empty, without them."""
+    a, b = F.lower(a), F.lower(b)
+
+    def opposed(left: str, right: str) -> Column:
+        return (a.rlike(left) & b.rlike(right)) | (a.rlike(right) & b.rlike(left))
+
+    def rest(x: Column, left: str, right: str) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(x, f"{left}|{right}", " "), r"[^\p{L}\p{N}_]+", " "))
+
+    absolute = {code: opposed(left, right) for code, left, right in VETOES}
+    contrast = F.lit(False)
+    for left, right in CONTRASTS:
+        contrast |= opposed(left, right) & (rest(a, left, right) != "") & (rest(a, left, right) == rest(b, left, right))
+    return (
+        F.when(absolute["CARRIER_POLARITY"], "CARRIER_POLARITY").when(absolute["OXIDATION_REDUCTION"], "OXIDATION_REDUCTION").when(contrast, "QUALIFIER").when(absolute["ANALYTE"], "ANALYTE")
+    )
 
 
 def masked(text: Column) -> Column:

@@ -109,14 +109,17 @@ def positional_zip(spark: SparkSession, folder: str) -> DataFrame:
     return side("view", "view_id").join(side("click", "click_id"), ["user_id", "place"]).select("user_id", "place", "view_id", "click_id")
 
 
-@register("SELECT count(*) AS revisions, 0::BIGINT AS changed_facts, count(*) FILTER (extraction_splits IS NULL) AS promoted FROM graph_index_results")
+@register("""WITH p AS (SELECT *, CASE WHEN fact_count % 10 = 3 THEN fact_count + 1 ELSE fact_count END AS facts FROM graph_index_results)
+    SELECT count(*) AS revisions, 2 * count(*) FILTER (facts <> fact_count) AS changed_facts, count(*) FILTER (extraction_splits IS NULL) AS promoted, count(*) FILTER (facts <> fact_count) = 0 AS metadata_only FROM p""")
 def promotion_check(spark: SparkSession, folder: str) -> DataFrame:
-    """A promotion that may touch metadata only: without the metadata both versions hold the same rows."""
+    """A promotion that may touch metadata only, but changes some facts: rows of either version that the other lacks."""
     base = table(spark, folder, "graph_index_results")
-    promoted = base.withColumn("extraction_splits", F.coalesce("extraction_splits", F.lit(0)))
+    spoilt = F.when(F.col("fact_count") % 10 == 3, F.col("fact_count") + 1).otherwise(F.col("fact_count"))
+    promoted = base.withColumn("extraction_splits", F.coalesce("extraction_splits", F.lit(0))).withColumn("fact_count", spoilt)
     facts = ["revision_id", "document_id", "fact_count", "indexer_version"]
-    changed = snapshots.symmetric_difference(base.select(facts), promoted.select(facts)).count()
-    return base.agg(F.count("*").alias("revisions"), F.lit(changed).cast("long").alias("changed_facts"), F.count_if(F.col("extraction_splits").isNull()).alias("promoted"))
+    changed = snapshots.symmetric_difference(base.select(facts), promoted.select(facts)).select(F.lit(0).alias("revision"), F.lit(1).alias("changed"), F.lit(0).alias("bare"))
+    rows = base.select(F.lit(1).alias("revision"), F.lit(0).alias("changed"), F.col("extraction_splits").isNull().cast("int").alias("bare")).unionByName(changed)
+    return rows.agg(F.sum("revision").alias("revisions"), F.sum("changed").alias("changed_facts"), F.sum("bare").alias("promoted"), (F.sum("changed") == 0).alias("metadata_only"))
 
 
 #: Which concept types a relation may end at. Fixed values.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
@@ -135,25 +135,39 @@ def redact_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", rules.masked(log).alias("masked"))
 
 
-@register()
+@register(r"WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS words FROM documents WHERE text IS NOT NULL) SELECT doc_id, words, CASE WHEN words BETWEEN 1 AND 20000 THEN true END AS same FROM w")
 def inverted_index_text(spark: SparkSession, folder: str) -> DataFrame:
     """Texts taken apart into word positions and put together again; true where the words come back, null for texts without
     words or of more than 20,000, which have no valid index."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     d = table(spark, folder, "documents").where("text is not null").select("doc_id", words.alias("w"))
-    pairs = F.array_distinct("w")
-    index = F.map_from_arrays(pairs, F.transform(pairs, lambda x: F.filter(F.transform("w", lambda v, i: F.when(v == x, i)), lambda i: i.isNotNull())))
-    same = F.when(F.size("w").between(1, 20_000), tx.words_by_position(index) == F.array_join("w", " "))
+    d = d.select("doc_id", "w", tx.positions_of_words("w").alias("index"))
+    same = F.when(F.size("w").between(1, 20_000), tx.words_by_position(F.col("index")) == F.array_join("w", " "))
     return d.select("doc_id", F.size("w").alias("words"), same.alias("same"))
 
 
 @register()
 def chunk_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in chunks of at most 1,200 code points that keep sentences together."""
+    s = _document_chunks(spark, folder)
+    return s.select("doc_id", "ordinal", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "language", F.sha2(_part(), 256).alias("hash"))
+
+
+def _part() -> Column:
+    return F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+
+
+def _document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where("text is not null").select("doc_id", "text", tx.language_or_guess(F.col("lang"), F.col("text")).alias("language"))
-    s = d.select("doc_id", "text", "language", F.posexplode(tx.chunks_of("text", "language")).alias("ordinal", "s"))
-    part = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return s.select("doc_id", "ordinal", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "language", F.sha2(part, 256).alias("hash"))
+    return d.select("doc_id", "text", "language", F.posexplode(tx.chunks_of("text", "language")).alias("ordinal", "s"))
+
+
+@register(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS letters, true AS bounded, true AS trimmed, length(trim(text)) > 1200 AS split FROM documents WHERE regexp_matches(text, '\S')")
+def chunk_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What the chunks of a document hold together, and whether each is within the limit and trimmed."""
+    letters = F.char_length(F.regexp_replace(_part(), r"[^\p{L}\p{N}]", ""))
+    c = _document_chunks(spark, folder).select("doc_id", letters.alias("n"), (F.char_length(_part()) <= 1200).alias("bounded"), (F.trim(_part()) == _part()).alias("trimmed"))
+    return c.groupBy("doc_id").agg(F.sum("n").alias("letters"), F.every("bounded").alias("bounded"), F.every("trimmed").alias("trimmed"), (F.count("*") > 1).alias("split"))
 
 
 @register(f"WITH {_CANDIDATES} SELECT candidate_id, strpos(quote, target_text) - 1 AS offset_in_quote, CASE WHEN strpos(quote, target_text) > 0 THEN span_start + strpos(quote, target_text) - 1 ELSE -1 END AS target_start FROM candidates WHERE target_text <> ''")

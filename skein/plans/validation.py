@@ -81,7 +81,11 @@ def grounding_codes(spark: SparkSession, folder: str) -> DataFrame:
     return j.select("mention_id", code.alias("code"))
 
 
-@register()
+@register(
+    f"""WITH {_MENTIONS}, {_CHUNKS}, j AS (SELECT mention_id, text AS t, surface_text AS s, start_offset AS a, end_offset AS b, strpos(text, surface_text) - 1 AS p FROM mentions LEFT JOIN chunks USING (chunk_id)),
+    k AS (SELECT *, CASE WHEN t IS NULL THEN 'TEXT_MISSING' WHEN s IS NULL OR s = '' THEN 'SURFACE_EMPTY' WHEN a >= 0 AND a < b AND substr(t, a + 1, b - a) = s THEN 'REPORTED' WHEN p < 0 THEN 'NOT_FOUND' WHEN strpos(substr(t, p + 2), s) > 0 THEN 'AMBIGUOUS' ELSE 'RECOVERED' END AS code FROM j)
+    SELECT mention_id, CASE code WHEN 'REPORTED' THEN a WHEN 'RECOVERED' THEN p END::INTEGER AS start, CASE code WHEN 'REPORTED' THEN b WHEN 'RECOVERED' THEN p + length(s) END::INTEGER AS "end", code FROM k"""
+)
 def reanchored_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """Where each mention stands in its chunk: as reported, recovered, or refused with a reason."""
     j = mentions(spark, folder).join(chunks(spark, folder).select("chunk_id", "text"), "chunk_id", "left")
@@ -108,13 +112,32 @@ def probability_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("decision").agg(F.count("*").alias("n"), F.count_if(rules.probabilities_valid(F.col("p"), ["SAME", "DIFFERENT"], F.col("decision"))).alias("valid"))
 
 
+#: Pairs made of one name, for every rule of the veto and beside it: what stands before the name on either side.
+VETO_PAIRS = [
+    ("n-type ", "p type "), ("N type film of ", "p-type "), ("oxidation of ", "Reduction of CO by "), ("reduction in ", "oxidized "), ("high ", "low "), ("Increased ", "decreases "), ("with ", "without "), ("positive ", "negative "),
+    ("NO2 with ", "NH3 and "), ("no 2 ", "nh 3 "), ("high ", "low doped "), ("n-type ", "n type "), ("with ", "with "), ("highly ", "lowly "), ("CO2 ", "NH3 "), ("notype ", "p-type "),
+]
+_MADE = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(VETO_PAIRS))
+_HAS = lambda x, p: f"regexp_matches({x}, '{p}')"
+_OPPOSED = lambda l, r: f"(({_HAS('a', l)} AND {_HAS('b', r)}) OR ({_HAS('a', r)} AND {_HAS('b', l)}))"  # noqa: E731, E741
+_REST = lambda x, l, r: f"trim(regexp_replace(regexp_replace({x}, '{l}|{r}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"  # noqa: E731, E741
+_CONTRAST = " OR ".join(f"({_OPPOSED(l, r)} AND {_REST('a', l, r)} <> '' AND {_REST('a', l, r)} = {_REST('b', l, r)})" for l, r in rules.CONTRASTS)  # noqa: E741
+_VETO = {code: _OPPOSED(left, right) for code, left, right in rules.VETOES}
+
+
 @register(
-    """WITH p AS (SELECT DISTINCT feature_a AS a, feature_b AS b FROM pair_decisions WHERE feature_b IS NOT NULL) SELECT count(*) AS pairs, 0::BIGINT AS vetoed FROM p"""
+    f"""WITH made(i, x, y) AS (VALUES {_MADE}), p AS (SELECT i, lower(x || canonical_name) AS a, lower(y || canonical_name) AS b FROM technical_concepts, made
+      UNION ALL SELECT DISTINCT -1, lower(feature_a), lower(feature_b) FROM pair_decisions WHERE feature_b IS NOT NULL)
+    SELECT i AS made, CASE WHEN {_VETO['CARRIER_POLARITY']} THEN 'CARRIER_POLARITY' WHEN {_VETO['OXIDATION_REDUCTION']} THEN 'OXIDATION_REDUCTION' WHEN {_CONTRAST} THEN 'QUALIFIER' WHEN {_VETO['ANALYTE']} THEN 'ANALYTE' ELSE 'NONE' END AS reason, count(*) AS pairs
+    FROM p GROUP BY ALL"""
 )
 def safety_veto(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs that differ in one word and its opposite may never merge; the names here have random ends, so none does."""
-    p = table(spark, folder, "pair_decisions").where("feature_b is not null").select("feature_a", "feature_b").distinct()
-    return p.agg(F.count("*").alias("pairs"), F.count_if(rules.opposite_pair(F.col("feature_a"), F.col("feature_b"))).alias("vetoed"))
+    """Pairs that may never merge, by reason: of the decided pairs (made = -1), and of names made opposite in every way."""
+    decided = table(spark, folder, "pair_decisions").where("feature_b is not null").select(F.lower("feature_a").alias("a"), F.lower("feature_b").alias("b")).distinct().select(F.lit(-1).alias("made"), "a", "b")
+    pairs = F.array(*[F.struct(F.lit(i).alias("made"), F.concat(F.lit(x), "canonical_name").alias("a"), F.concat(F.lit(y), "canonical_name").alias("b")) for i, (x, y) in enumerate(VETO_PAIRS)])
+    made = table(spark, folder, "technical_concepts").select(F.explode(pairs).alias("p")).select("p.*")
+    both = decided.unionByName(made)
+    return both.groupBy("made", F.coalesce(rules.veto_reason(F.col("a"), F.col("b")), F.lit("NONE")).alias("reason")).agg(F.count("*").alias("pairs"))
 
 
 @register(
@@ -159,12 +182,18 @@ def constraint_checks(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@register(f"WITH {_EVIDENCE}, {_CHUNKS} SELECT e.evidence_id, list_sort(list_filter([CASE WHEN e.document_id <> c.document_id THEN 'document_id' END, CASE WHEN e.revision_id <> c.revision_id THEN 'revision_id' END, CASE WHEN e.section <> c.section THEN 'section' END, CASE WHEN e.text <> c.text THEN 'text' END], lambda x: x IS NOT NULL))::VARCHAR AS differs FROM evidence e JOIN chunks c USING (chunk_id) WHERE e.document_id <> c.document_id OR e.revision_id <> c.revision_id OR e.section <> c.section OR e.text <> c.text")
+@register(f"""WITH {_EVIDENCE}, {_CHUNKS}, e AS (SELECT evidence_id, chunk_id, document_id, CASE WHEN substr(evidence_id, 1, 1) IN ('0', '1') THEN '' ELSE revision_id END AS revision_id, CASE WHEN substr(evidence_id, 2, 1) = 'a' THEN upper(section) || '?' ELSE section END AS section, CASE WHEN substr(evidence_id, 1, 1) IN ('1', '2') THEN substr(text, 2) ELSE text END AS text FROM evidence)
+    SELECT e.evidence_id, list_sort(list_filter([CASE WHEN e.document_id <> c.document_id THEN 'document_id' END, CASE WHEN e.revision_id <> c.revision_id THEN 'revision_id' END, CASE WHEN e.section <> c.section THEN 'section' END, CASE WHEN e.text <> c.text THEN 'text' END], lambda x: x IS NOT NULL))::VARCHAR AS differs FROM e JOIN chunks c USING (chunk_id) WHERE e.document_id <> c.document_id OR e.revision_id <> c.revision_id OR e.section <> c.section OR e.text <> c.text""")
 def evidence_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence whose fields don't equal those of its chunk, and which."""
+    """Evidence whose fields don't equal those of its chunk, and which. The tables agree, so copies are spoilt by their ids first."""
     fields = ["document_id", "revision_id", "section", "text"]
     c = chunks(spark, folder).select("chunk_id", *[F.col(f).alias(f"_{f}") for f in fields])
-    j = evidence(spark, folder).select("evidence_id", "chunk_id", *fields).join(c, "chunk_id")
+    first, second = F.substring("evidence_id", 1, 1), F.substring("evidence_id", 2, 1)
+    spoilt = evidence(spark, folder).select(
+        "evidence_id", "chunk_id", "document_id", F.when(first.isin("0", "1"), "").otherwise(F.col("revision_id")).alias("revision_id"),
+        F.when(second == "a", F.concat(F.upper("section"), F.lit("?"))).otherwise(F.col("section")).alias("section"), F.when(first.isin("1", "2"), F.substr("text", F.lit(2))).otherwise(F.col("text")).alias("text"),
+    )
+    j = spoilt.join(c, "chunk_id")
     differs = F.array_sort(F.filter(F.array(*[F.when(F.col(f) != F.col(f"_{f}"), F.lit(f)) for f in fields]), lambda x: x.isNotNull()))
     return j.select("evidence_id", differs.alias("d")).where("size(d) > 0").select("evidence_id", F.concat(F.lit("["), F.array_join("d", ", "), F.lit("]")).alias("differs"))
 

@@ -25,12 +25,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read it back, so that later steps neither repeat nor depend on what made it.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests, one machine)
-    a folder of this machine is used.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where that is unset a folder of this machine is used if
+    the session is local, as in tests; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return df.checkpoint(eager=True)
 

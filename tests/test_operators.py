@@ -181,8 +181,13 @@ def test_packs_skip_what_does_not_fit():
 def test_rules(spark):
     df = spark.createDataFrame([({"A": 0.6, "B": 0.4}, "A"), ({"A": 0.6, "B": 0.4}, "B"), ({"A": 1.0}, "A"), ({"A": float("nan"), "B": 0.4}, "A"), (None, "A")], "p map<string, double>, l string")
     assert [r[0] for r in df.select(rules.probabilities_valid(F.col("p"), ["A", "B"], F.col("l"))).collect()] == [True, False, False, False, False]
-    v = spark.createDataFrame([("n-type film", "p-type film"), ("high drift", "low drift"), ("high drift", "high drift"), ("x", None)], "a string, b string")
-    assert [r[0] for r in v.select(rules.opposite_pair(F.col("a"), F.col("b"))).collect()] == [True, True, False, False]
+    pairs = {
+        ("n-type film", "p-type film"): "CARRIER_POLARITY", ("n-type SnO2", "p-type CuO"): "CARRIER_POLARITY", ("P type film", "N -type film"): "CARRIER_POLARITY", ("oxidation of CO", "reduction of NO2"): "OXIDATION_REDUCTION", ("oxidized film", "Reduction"): "OXIDATION_REDUCTION",
+        ("film with Pd", "film without Pd"): "QUALIFIER", ("increased response", "decreased response"): "QUALIFIER", ("high drift", "low drift"): "QUALIFIER", ("Positive, shift", "negative shift"): "QUALIFIER", ("response to NO2", "response to NH3"): "ANALYTE", ("no 2", "NH 3"): "ANALYTE",
+        ("high drift", "high drift"): None, ("high drift", "low noise"): None, ("high", "low"): None, ("film with Pd", "layer without Pd"): None, ("NO2 film", "CO film"): None, ("n-types", "p-type"): None, ("x", None): None,
+    }
+    v = spark.createDataFrame(list(pairs), "a string, b string")
+    assert [r[0] for r in v.select(rules.veto_reason(F.col("a"), F.col("b"))).collect()] == list(pairs.values())
     m = spark.createDataFrame([('{"Token": "abc", "x": 1, "h": "Bearer a.b-c"}',)], "t string").select(rules.masked(F.col("t"))).first()[0]
     assert m == '{"Token": "[masked]", "x": 1, "h": "Bearer [masked]"}'
     r = spark.createDataFrame([("abcabx", "ab", 0, 2), ("abcabx", "cab", 9, 12), ("abcabx", "ab", 1, 3), ("abc", "z", 0, 1), (None, "a", 0, 1), ("abc", "", 0, 0)], "t string, s string, a int, b int")
@@ -208,3 +213,19 @@ def test_chunks_are_exact_and_bounded(limit):
         assert all(0 < b - a <= limit and not text[a].isspace() for a, b in found)
         covered = "".join(text[a:b] for a, b in found)
         assert "".join(covered.split()) == "".join(text.split()) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    assert tx.chunk_spans("", "en", limit) == [] == tx.chunk_spans(" \n ", "en", limit)
+    # sentences are kept together as long as they fit, a long one is cut at a blank, a long word at the limit
+    assert tx.chunk_spans("One. Two. Three four.", "en", 10) == [(0, 9), (10, 15), (16, 21)]
+    assert tx.chunk_spans("A. " + "x" * 25 + " end.", "en", 10) == [(0, 2), (3, 13), (13, 23), (23, 33)]
+
+
+def test_a_checkpoint_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from skein import session
+
+    unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: unset), getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://host:7077")
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
+    with pytest.raises(RuntimeError):
+        session.cut(df)
