@@ -7,8 +7,9 @@ are exchanged: its parent is the smallest of them, and each other name becomes a
 over these edges, which join representatives only, until none is left; then the parents of the rounds are composed from
 the last to the first. The smallest vertex of a component is never given up, so it becomes the group key.
 
-A cell has about CELL_EDGES edges, and a hub with a third of all edges gives its cells at most HUB_CELL_EDGES, by the number
-of blocks, so no task grows with the data. Each round is cut with a checkpoint.
+Cells have about CELL_EDGES edges, however many there are in all. The edges of every cell are counted; one that a hub has
+filled beyond twice that number is split by the hash of the edge, which union-find allows as well as any other division. So
+no task grows with the data. Each round is cut with a checkpoint.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.session import cut
 
-#: Edges of an average cell, and of a cell that a hub with a third of all edges fills.
+#: Edges of an average cell.
 CELL_EDGES = 40_000
-HUB_CELL_EDGES = 400_000
 
 
 def decided_matches(pairs: DataFrame, a: str = "feature_a", b: str = "feature_b", decision: str = "decision", moment: str = "decided_at", match: str = "SAME") -> DataFrame:
@@ -73,6 +73,18 @@ def _cell(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"x": words, "r": words[root]})
 
 
+def _celled(edges: DataFrame, count: int) -> DataFrame:
+    """u, v with the row, column and part of the cell of each edge."""
+    blocks = math.ceil(math.sqrt(count / CELL_EDGES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = edges.select("u", "v", block("u").alias("row"), block("v").alias("column"))
+    # at most count / (2 * CELL_EDGES) cells are that full
+    full = placed.groupBy("row", "column").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL_EDGES)
+    parts = full.select("row", "column", F.ceil(F.col("n") / CELL_EDGES).alias("parts"))
+    part = F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1)))
+    return placed.join(F.broadcast(parts), ["row", "column"], "left").select("u", "v", "row", "column", part.alias("part"))
+
+
 def connected_groups(edges: DataFrame) -> DataFrame:
     """group_key, feature_key: every vertex of the edges (u, v) with the smallest vertex it is linked to, directly or through others.
 
@@ -83,16 +95,17 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     count = edges.count()
     rounds: list[DataFrame] = []
     while count:
-        blocks = max(1, math.ceil(math.sqrt(count / CELL_EDGES)), math.ceil(count / 3 / HUB_CELL_EDGES))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-        named = edges.select("u", "v", block("u").alias("row"), block("v").alias("column")).groupBy("row", "column").applyInPandas(_cell, "x string, r string").distinct()
-        named = cut(named)
-        parents = named.groupBy("x").agg(F.min("r").alias("parent"))
-        rounds.append(cut(parents))
-        if blocks == 1:
+        one = count <= CELL_EDGES
+        cells = edges.select("u", "v", F.lit(0).alias("row")).groupBy("row") if one else _celled(edges, count).groupBy("row", "column", "part")
+        named = cells.applyInPandas(_cell, "x string, r string")
+        if one:
+            rounds.append(cut(named.select("x", F.col("r").alias("parent"))))
             break  # one cell holds every edge: its trees are final
-        exchanged = named.join(rounds[-1], "x").where("r != parent").select(F.least("r", "parent").alias("u"), F.greatest("r", "parent").alias("v")).distinct()
-        edges = cut(exchanged)
+        # a vertex has one name in each of its cells: the smallest is its parent, the others become edges to it
+        w = Window.partitionBy("x").orderBy("r")
+        ranked = cut(named.select("x", "r", F.first("r").over(w).alias("parent"), F.row_number().over(w).alias("n")))
+        rounds.append(ranked.where("n = 1").select("x", "parent"))
+        edges = cut(ranked.where("r != parent").select(F.col("parent").alias("u"), F.col("r").alias("v")).distinct())
         count = edges.count()
     if not rounds:
         return edges.select(F.col("u").alias("group_key"), F.col("v").alias("feature_key"))

@@ -31,7 +31,6 @@ def union(pairs):
 @pytest.mark.parametrize(("shape", "cell"), [("random", 5), ("chain", 4), ("star", 6), ("random", 10_000)])
 def test_groups_over_the_grid(spark, monkeypatch, shape, cell):
     monkeypatch.setattr(groups, "CELL_EDGES", cell)
-    monkeypatch.setattr(groups, "HUB_CELL_EDGES", cell)
     rng = random.Random(2)
     pairs = {"random": [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(36)], "chain": [(f"n{i:03}", f"n{i + 1:03}") for i in range(24)], "star": [("n15", f"n{i:02}") for i in range(30)]}[shape]
     df = spark.createDataFrame([*pairs, *pairs[:5]], "u string, v string")
@@ -39,6 +38,15 @@ def test_groups_over_the_grid(spark, monkeypatch, shape, cell):
     assert got == union([p for p in pairs if p[0] != p[1]])
 
 
+def test_a_full_cell_is_split(spark, monkeypatch):
+    monkeypatch.setattr(groups, "CELL_EDGES", 10)
+    df = spark.createDataFrame([("hub", f"n{i:04}") for i in range(300)] + [(f"m{i}", f"m{i + 1}") for i in range(60)], "u string, v string")
+    sizes = [r["count"] for r in groups._celled(df, df.count()).groupBy("row", "column", "part").count().collect()]
+    assert max(sizes) <= 40 and sum(sizes) == 360
+    got = {r.feature_key: r.group_key for r in groups.connected_groups(df).collect()}
+    assert got == union([tuple(r) for r in df.collect()])
+
+
 def test_decisions_in_any_order_and_spelling(spark):
     from datetime import datetime
 
@@ -64,6 +72,25 @@ def test_terms_equal_plain_counts(spark):
     assert w == ["foo", "bar", "2x", "été3"]
 
 
+def test_blocks_and_ranges_of_any_size(spark, monkeypatch):
+    rows = [(i, [f"t{(i * k) % 97}" for k in range(1, 9)], i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, term array<string>, weight int").repartition(3)
+    monkeypatch.setattr(terms, "RANGE_ENTRIES", 20)
+    want = {}
+    for _, words, weight in rows:
+        for w in words:
+            want.setdefault(w, [0, 0, 0])[0] += 1
+        for w in set(words):
+            want[w][1] += 1
+            want[w][2] += weight
+    got = {r.term: [r.occurrences, r.records, r.weight] for r in terms.term_counts(df, F.col("term"), F.col("weight")).collect()}
+    assert got == want
+    frames = [pd.DataFrame({"terms": [r[1] for r in rows[i : i + 50]], "weight": [r[2] for r in rows[i : i + 50]]}) for i in range(0, 400, 50)]
+    monkeypatch.setattr(terms, "BLOCK_TERMS", 150)
+    blocks = list(terms._blocks(iter(frames)))
+    assert len(blocks) > 1 and terms._added(blocks).set_index("term")["occurrences"].to_dict() == {w: n[0] for w, n in want.items()}
+
+
 # problem 7
 @pytest.mark.parametrize(("limit", "overlap"), [(40, 5), (30, 0), (1200, 100)])
 def test_pieces_round_trip(spark, limit, overlap):
