@@ -156,13 +156,13 @@ def _pool_sql(weight: str) -> str:
 
 @register(_pool_sql("1.0"))
 def pooled_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    p = vectors.pooled(table(spark, folder, "embeddings"), "label", F.col("embedding"))
+    p = vectors.pooled(table(spark, folder, "embeddings"), "label", "embedding")
     return p.select("label", F.col("position").cast("long").alias("position"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @register(_pool_sql("(1 + vec_id % 5)"))
 def weighted_pooled_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    p = vectors.pooled(table(spark, folder, "embeddings"), "label", F.col("embedding"), 1 + F.col("vec_id") % 5)
+    p = vectors.pooled(table(spark, folder, "embeddings"), "label", "embedding", 1 + F.col("vec_id") % 5)
     return p.select("label", F.col("position").cast("long").alias("position"), (F.round("value", 6) + 0.0).alias("value"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.io import table
 from skein.plans.registry import Register
 from skein.plans.relational import _CHUNKS, chunks, event_sequence
+from skein.session import shared_folder
 from skein.streaming import events as ev
 
 register = Register()
@@ -34,7 +35,7 @@ def sequence_fold(spark: SparkSession, folder: str) -> DataFrame:
     """A reducer over each user's numbered events, with state kept between batches. Every seventh is lost, every fifth comes twice."""
     numbered = event_sequence(spark, folder).join(table(spark, folder, "events").select("event_id", "value"), "event_id").where("sequence_no % 7 <> 0")
     numbered = numbered.unionByName(numbered.where("sequence_no % 5 = 0"))
-    place = ev._folder(spark, "numbered")
+    place = shared_folder(spark, "numbered")
     numbered.write.parquet(f"{place}/rows")
     stream = spark.readStream.schema(numbered.schema).parquet(f"{place}/rows")
     return ev.drained(ev.fold_sequences(stream, "user_id", "sequence_no", "value"), "fold", "update").select("key", "last", "seen", "repeated", "gaps", F.round("total", 4).alias("total"))

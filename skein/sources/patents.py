@@ -87,8 +87,12 @@ def parse_patents(content: bytes) -> list[dict]:
 
 
 def read_patents(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files under a path; a refused file gives one row that names the problem."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content", "length")
+    """Records of all files under a path; see parsed_patents."""
+    return parsed_patents(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def parsed_patents(files: DataFrame) -> DataFrame:
+    """Records of files (path, content); a refused file gives one row that names the problem."""
     columns = [c.split()[0] for c in PATENT_SCHEMA.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,12 +27,12 @@ def _web(value: Column) -> Column:
     return F.when(F.try_parse_url(value, F.lit("PROTOCOL")).isin("http", "https") & F.try_parse_url(value, F.lit("HOST")).isNotNull(), value)
 
 
-def read_works(spark: SparkSession, path: str, wrapped: bool = False) -> DataFrame:
-    """Raw works: one JSON object a line, or whole files; wrapped: objects with a list `results`."""
+def read_works(spark: SparkSession, path: str, wrapped: bool = False, lines: bool = False) -> DataFrame:
+    """Raw works: a JSON object for each file, or (lines) for each line; wrapped: objects with a list `results`."""
     if wrapped:
         pages = spark.read.schema(f"results array<struct<{_fields()}>>").option("multiLine", "true").json(path)
         return pages.select(F.explode("results").alias("w")).select("w.*")
-    return spark.read.schema(WORK_SCHEMA).option("multiLine", "true").json(path)
+    return spark.read.schema(WORK_SCHEMA).option("multiLine", str(not lines).lower()).json(path)
 
 
 def _fields() -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skein.session import cut
+from skein.session import shared_folder
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -28,7 +28,7 @@ def drained(stream: DataFrame, keys: str, mode: str = "append") -> DataFrame:
     keys names the run. The output is a Parquet table written batch by batch, so it holds what a restarted run would hold.
     """
     spark = stream.sparkSession
-    place = _folder(spark, keys)
+    place = shared_folder(spark, keys)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
@@ -38,13 +38,6 @@ def drained(stream: DataFrame, keys: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out").drop("batch")
 
 
-def _folder(spark: SparkSession, keys: str) -> str:
-    import uuid
-
-    cut(spark.range(1))  # sets a checkpoint folder where the cluster names none
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{keys}-{uuid.uuid4().hex}"
-
-
 def tumbling_counts(events: DataFrame, ts: str, key: str, seconds: int, late: str | None = None) -> DataFrame:
     """window_start, key, n: rows of each key in fixed windows. late: how late a row of a stream may come."""
     if late:

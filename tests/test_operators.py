@@ -87,7 +87,7 @@ def test_nearest_is_exact_over_blocks(spark, monkeypatch):
 
 def test_pooling_and_medoid(spark):
     df = spark.createDataFrame([("g", 1, [2.0, 0.0]), ("g", 2, [0.0, 3.0]), ("g", 3, [1.0, 1.0]), ("z", 4, [0.0, 0.0])], "g string, id int, v array<double>")
-    got = {(r.g, r.position): r.value for r in vectors.pooled(df, "g", F.col("v")).collect()}
+    got = {(r.g, r.position): r.value for r in vectors.pooled(df, "g", "v").collect()}
     assert math.isclose(got["g", 0], math.sqrt(0.5)) and got["z", 0] == 0.0
     assert {r.g: r.id for r in vectors.medoids(df, "g", "id", "v").collect()} == {"g": 3, "z": 4}
 
