@@ -41,3 +41,12 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFr
 def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one side only, with multiplicity, and the side."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def replayed(patches: Column | str, key: str, value: str) -> Column:
+    """The map that a list of patches in order leaves: each sets the value of its key, a null removes it (and stays as null)."""
+    # the last patch of a key wins, so keys are taken once, each with the value of its last patch
+    ordered = F.reverse(patches)
+    keys = F.transform(ordered, lambda p: p[key])
+    firsts = F.filter(F.transform(ordered, lambda p, i: F.struct(p[key].alias("k"), p[value].alias("v"), (F.array_position(keys, p[key]) == i + 1).alias("last"))), lambda x: x["last"])
+    return F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["k"], x["v"])))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import aggregates, connectors, graphs, pipelines, problems, relational, retrieval, streams, texts, validation
+from skein.plans import aggregates, connectors, graphs, integrity, pipelines, problems, relational, retrieval, streams, texts, validation
 
-MODULES = [problems, retrieval, relational, aggregates, graphs, texts, validation, streams, pipelines, connectors]
+MODULES = [problems, retrieval, relational, aggregates, graphs, texts, validation, streams, pipelines, connectors, integrity]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,28 +54,34 @@ def once(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
     return events.dropDuplicates(keys)
 
 
-_FOLDED = "key string, last long, seen long, repeated long, gaps long, total double"
+_FOLDED = "key string, last long, seen long, repeated long, gaps long, total double, resets long"
 
 
-def fold_sequences(events: DataFrame, key: str, sequence: str, value: str) -> DataFrame:
-    """key, last, seen, repeated, gaps, total: a reducer over numbered events of each key.
+def fold_sequences(events: DataFrame, key: str, sequence: str, value: str, snapshot: str | None = None) -> DataFrame:
+    """key, last, seen, repeated, gaps, total, resets: a reducer over numbered events of each key.
 
     An event is used if its number is above the last one used; the same or a smaller number is a repeat and changes
-    nothing; a number further than one above the last is a gap, which is counted and passed. State is a few numbers a key.
+    nothing; a number further than one above the last is a gap, which is counted and passed. A row marked by the column
+    snapshot holds the whole state up to its number: it resets the reader there, so that nothing before it is missed. State
+    is a few numbers a key; the rows of a key in one micro-batch are sorted as arrays.
     """
 
     def reduce(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen, repeated, gaps, total = state.get if state.exists else (0, 0, 0, 0, 0.0)
-        for n, v in sorted((int(n), float(v)) for b in batches for n, v in zip(b[sequence], b[value])):
-            if n <= last:
-                repeated += 1
-                continue
-            gaps += int(n > last + 1)
-            last, seen, total = n, seen + 1, total + (0.0 if v != v else v)
-        state.update((last, seen, repeated, gaps, total))
-        yield pd.DataFrame([(str(name[0]), last, seen, repeated, gaps, total)], columns=["key", "last", "seen", "repeated", "gaps", "total"])
-
-    state = "last long, seen long, repeated long, gaps long, total double"
+        last, seen, repeated, gaps, total, resets = state.get if state.exists else (0, 0, 0, 0, 0.0, 0)
+        parts = [(b[sequence].to_numpy(dtype=np.int64), b[value].to_numpy(dtype=np.float64), b[snapshot].to_numpy(dtype=bool) if snapshot else np.zeros(len(b), dtype=bool)) for b in batches]
+        numbers, values, marks = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(numbers, kind="stable")
+        numbers, values, marks = numbers[order], values[order], marks[order]
+        before = np.maximum.accumulate(np.concatenate([[last], numbers]))[:-1]
+        new = numbers > before
+        used = new & ~marks
+        seen, resets, total = seen + int(used.sum()), resets + int((new & marks).sum()), total + float(np.nansum(values[used]))
+        repeated, gaps = repeated + int((~new).sum()), gaps + int((used & (numbers > before + 1)).sum())
+        last = int(max(last, numbers[-1])) if len(numbers) else last
+        state.update((last, seen, repeated, gaps, total, resets))
+        yield pd.DataFrame([(str(name[0]), last, seen, repeated, gaps, total, resets)], columns=["key", "last", "seen", "repeated", "gaps", "total", "resets"])
+
+    state = "last long, seen long, repeated long, gaps long, total double, resets long"
     return events.groupBy(key).applyInPandasWithState(reduce, _FOLDED, state, "update", GroupStateTimeout.NoTimeout)
 
 

@@ -229,3 +229,20 @@ def test_a_checkpoint_folder_is_needed_on_a_cluster():
     df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
     with pytest.raises(RuntimeError):
         session.cut(df)
+
+
+def test_keyed_hash_equals_the_standard(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("",), ("é|x",), ("m" * 500,), (None,)], "t string")
+    for key in (b"k", b"long" * 40):
+        got = [r[0] for r in df.select(tx.hmac_sha256(F.col("t"), key)).collect()]
+        assert got == [hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in ("", "é|x", "m" * 500)] + [None]
+
+
+def test_patches_in_order(spark):
+    from skein.operators import snapshots
+
+    df = spark.createDataFrame([([("a", "1"), ("b", "2"), ("a", "3"), ("b", None), ("c", None), ("c", "4")],), ([],), (None,)], "p array<struct<k: string, v: string>>")
+    assert [r[0] for r in df.select(snapshots.replayed("p", "k", "v")).collect()] == [{"a": "3", "b": None, "c": "4"}, {}, None]
