@@ -156,6 +156,18 @@ def constrained_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return resolution.constrained_clusters(table(spark, folder, "pair_decisions"), 0.7)
 
 
+@register("""WITH p AS (SELECT DISTINCT least(feature_a, feature_b) AS a, greatest(feature_a, feature_b) AS b FROM pair_decisions WHERE feature_b IS NOT NULL AND feature_a <> feature_b AND upper(trim(decision)) = 'DIFFERENT')
+    SELECT count(*) AS kept_apart, 0::BIGINT AS merged_all_the_same, 0::BIGINT AS in_two_clusters FROM p""")
+def clusters_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs decided to differ, how many of them share a cluster, and features that are in two clusters."""
+    pairs = table(spark, folder, "pair_decisions").where("feature_b is not null and feature_a <> feature_b and upper(trim(decision)) = 'DIFFERENT'").select(F.least("feature_a", "feature_b").alias("a"), F.greatest("feature_a", "feature_b").alias("b")).distinct()
+    members = constrained_clusters(spark, folder).where("kind = 'member'")
+    side = lambda name, c: members.select(F.col("feature").alias(name), F.col("cluster").alias(c))
+    judged = pairs.join(side("a", "ca"), "a", "left").join(side("b", "cb"), "b", "left").select(F.lit(1).alias("pair"), F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0)).alias("merged"), F.lit(0).alias("twice"))
+    twice = members.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(0).alias("pair"), F.lit(0).alias("merged"), F.lit(1).alias("twice"))
+    return judged.unionByName(twice).agg(F.sum("pair").alias("kept_apart"), F.sum("merged").alias("merged_all_the_same"), F.sum("twice").alias("in_two_clusters"))
+
+
 @register()
 def cluster_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters, merged features and conflicts at several thresholds."""

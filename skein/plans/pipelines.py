@@ -11,7 +11,7 @@ from skein.io import table
 from skein.operators import lexical, resolution, snapshots
 from skein.plans.registry import Register
 from skein.plans.relational import _ASSERTIONS, _CANDIDATES, _CHUNKS, _EVIDENCE, _MENTIONS, assertions, candidates, chunks, evidence, mentions
-from skein.plans.retrieval import QUERY
+from skein.plans.retrieval import _TERMS, QUERY
 
 register = Register()
 
@@ -174,7 +174,10 @@ def injected_rerank(spark: SparkSession, folder: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), "evidence_id").limit(100)
 
 
-@register()
+@register(
+    f"""WITH {_EVIDENCE}, p AS (SELECT document_id, f AS feature, coalesce(lower(text), '') AS t FROM evidence, (VALUES ('gas sensor'), ('thin film'), ('annealing')) v(f))
+    SELECT document_id, feature, count(*) FILTER (contains(t, feature)) AS direct, count(*) FILTER (NOT contains(t, feature) AND len(list_filter(string_split(feature, ' '), lambda w: contains(t, w))) > 0) AS partial, count(*) AS n FROM p GROUP BY ALL"""
+)
 def relation_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's evidence against a fixed list of features, labelled by an injected classifier."""
     features = ["gas sensor", "thin film", "annealing"]
@@ -190,16 +193,22 @@ def relation_labels(spark: SparkSession, folder: str) -> DataFrame:
     return done.groupBy("document_id", "feature").agg(F.count_if(F.col("label") == "direct").alias("direct"), F.count_if(F.col("label") == "partial").alias("partial"), F.count("*").alias("n"))
 
 
-@register()
+#: Queries of the expanded search: the question and its features.
+EXPANDED = models.expanded_queries(QUERY, [("humidity tolerance", 0.9), ("Response of the zno sensor to acetone", 0.8), ("spray pyrolysis", 0.7)])
+_ASKED = ", ".join(f"({i}, '{t}')" for i, q in enumerate(EXPANDED) for t in tx.term_list(q))
+
+
+@register(
+    f"""WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents), n AS (SELECT count(*) AS n, avg(len(terms)) AS al FROM t), q(i, term) AS (VALUES {_ASKED}),
+    f AS (SELECT doc_id, i, q.term, len(list_filter(terms, lambda x: x = q.term)) AS f, len(terms) AS l FROM t, q),
+    d AS (SELECT term, count(DISTINCT doc_id) FILTER (f > 0) AS df FROM f GROUP BY term),
+    s AS (SELECT doc_id, i, sum(CASE WHEN f > 0 THEN ln(1 + (n.n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / al)) ELSE 0 END) AS score FROM f JOIN d USING (term), n GROUP BY ALL)
+    SELECT doc_id, round(max(score), 6) AS score FROM s GROUP BY doc_id"""
+)
 def expanded_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The best score of each document over the query and its weighted features."""
-    queries = models.expanded_queries(QUERY, [("humidity tolerance", 0.9), ("Response of the zno sensor to acetone", 0.8), ("spray pyrolysis", 0.7)])
-    d = table(spark, folder, "documents").select("doc_id", "text")
-    out = None
-    for q in queries:
-        part = lexical.bm25(d, tx.plain_terms(F.col("text")), q).select("doc_id", "score")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+    """The best score of each document over the query and its weighted features, all scored at once."""
+    scored = lexical.bm25_all(table(spark, folder, "documents").select("doc_id", "text"), tx.plain_terms(F.col("text")), EXPANDED)
+    return scored.select("doc_id", F.round(F.array_max("scores"), 6).alias("score"))
 
 
 QUERIES, ORACLE = register.queries, register.sql

@@ -81,7 +81,11 @@ def feature_keys(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("target_text", key.alias("key"), (tx.from_url_key(key) == F.col("target_text")).alias("round_trip"))
 
 
-@register()
+_SHA1 = "sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || canonical_key::BLOB)"
+_VARIANT = f"substr('89ab', (strpos('0123456789abcdef', substr({_SHA1}, 17, 1)) - 1) % 4 + 1, 1)"
+
+
+@register(f"SELECT DISTINCT cluster_id, CASE WHEN canonical_key IS NOT NULL THEN substr({_SHA1}, 1, 8) || '-' || substr({_SHA1}, 9, 4) || '-5' || substr({_SHA1}, 14, 3) || '-' || {_VARIANT} || substr({_SHA1}, 18, 3) || '-' || substr({_SHA1}, 21, 12) END AS feature_id FROM feature_clusters")
 def named_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Name-based ids of clusters."""
     ident = tx.named_uuid("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
