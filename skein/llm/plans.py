@@ -137,7 +137,15 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_instruct": p8_instruct, "p8_chars": p8_chars, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_cover": p2_cover, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_joined": p7_joined}
+def p10_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The length of every text as its redacted form and the spans found tell it: placeholders out, spans back in."""
+    texts = table(spark, folder, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+    spans = pii.personal_spans(texts, "doc_id", "text")
+    grown = spans.groupBy("doc_id").agg(F.sum(F.col("end_offset") - F.col("start_offset") - F.char_length("pii_type") - 2).alias("more"))
+    return pii.redacted(texts, "doc_id", "text").join(grown, "doc_id", "left").select("doc_id", (F.char_length("text") + F.coalesce("more", F.lit(0))).alias("length"))
+
+
+QUERIES = {"p10_lengths": p10_lengths, "p8_pack": p8_pack, "p8_report": p8_report, "p8_instruct": p8_instruct, "p8_chars": p8_chars, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_cover": p2_cover, "p5_found": p5_found, "p9_found": p9_found, "p9_kept": p9_kept, "p4_found": p4_found, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_joined": p7_joined}
 
 ORACLE = {
     "p4_found": r"""
@@ -160,6 +168,7 @@ ORACLE = {
     "p2_cover": r"""
         SELECT evidence_id, sum(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')))::BIGINT AS letters, true AS trimmed
         FROM (SELECT DISTINCT evidence_id, text FROM candidate_evidence WHERE evidence_id IS NOT NULL AND regexp_matches(text, '\S')) GROUP BY evidence_id""",
+    "p10_lengths": "SELECT doc_id, length(text) AS length FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
     "p8_chars": r"""
         SELECT doc_id, length(text) AS size, length(text) - length(text) // 8 AS loss, length(text) > 2048 OR length(text) - length(text) // 8 > 1900 AS split, true AS kept, true AS within
         FROM documents WHERE doc_id IS NOT NULL""",
