@@ -1,7 +1,7 @@
 """Visually identical text made of different characters.
 
 Method. A value is brought to its compatibility form, ignorable characters are deleted, and blanks and hyphens get one form.
-Every character left that has look-alikes in other scripts opens a lattice column of all of them. A Viterbi search picks the
+Every character left that has look-alikes in other scripts opens a lattice column of those that occur in reference names. A Viterbi search picks the
 path with the best score under a character trigram model of the reference names, in which a change of script inside a word
 costs extra; accents are characters of their own between the columns and are never changed, nor is letter case. The path
 found is the value's consistent form, and values meet the reference names in an equi-join on it.
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 #: Characters that look the same, by shape. Fixed values.
 SHAPES = (
-    "AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YҮΥУ ZΖ ГΓ ПΠ ФΦ "
-    "aа cсϲ dԁ eе hһ iі jјϳ lӏ oоο pрρ qԛ sѕ vνѵ wԝ xх yу gɡ"
+    "AАΑᎪ BВΒᏴ CСϹᏟ DᎠ EЕΕᎬ FϜ GԌᏀ HНΗᎻ IІΙӀ JЈͿᎫ KКΚᏦ LᏞ MМΜᎷ NΝ OОΟՕ PРΡᏢ QԚ RᎡ SЅՏᏚ TТΤᎢ UՍ VѴᏙ WԜᎳ XХΧ YҮΥУ ZΖᏃ ГΓ ПΠ ФΦ "
+    "aа cсϲ dԁ eе hһհ iі jјϳյ lӏ nո oоοօ pрρ qԛզ sѕ uս vνѵ wԝ xх yу gɡց"
 ).split()
 #: Hyphens that look like the plain one.
 HYPHENS = "‐‑‒−﹣－"
@@ -69,6 +69,8 @@ class TrigramModel:
             middle[gram[0]] = middle.get(gram[0], 0) + n
         self.context, self.middle, self.total = context, middle, max(1, sum(self.one.values()))
         self.memo: dict[str, float] = {}
+        # a character of no name can't lead to a name, so only the one in the text stays beside those of the names
+        self.columns = {c: "".join(o for o in shape if o == c or o in self.one) for c, shape in _COLUMN.items()}
 
     def score(self, gram: str) -> float:
         """log P(third character | first two)."""
@@ -89,7 +91,7 @@ class TrigramModel:
         states: dict[tuple[str, str], tuple[float, str]] = {(_EDGE * 2, ""): (0.0, "")}
         for c in text:
             following: dict[tuple[str, str], tuple[float, str]] = {}
-            for option in _COLUMN.get(c, c):
+            for option in self.columns.get(c, c):
                 script = script_of(option)
                 for (last, word), (score, path) in states.items():
                     change = SCRIPT_CHANGE if script and word and script != word else 0.0

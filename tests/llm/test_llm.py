@@ -210,11 +210,12 @@ NAMES = ["γ-phase NO2 sensor", "flexible CO film", "efficient Pt hotplate", "п
 
 def test_look_alikes(spark):
     same = ["ｆｌｅｘｉｂｌｅ CO　film", "еffісіеnt Рt hotplate", "eﬃcient Pt hot​plate", "γ‐phase NO2 sensor", "порисtый оксид CO ацетона".replace("t", "т"), unicodedata.normalize("NFD", "pâte salé"), "40 \u212b ZnO heater", "Оhm-Schicht", "flexible  CO film"]
+    same += ["fⅼexible ᏟO film".replace("ⅼ", "l"), "efficieոt Pt հօtplate"]
     other = ["Flexible CO film", "flexible CO films", "pâte sale", "film CO flexible", "Γ-phase NO2 sensor", "", " ", "n-type film"]
     df = spark.createDataFrame([(i, v, "x") for i, v in enumerate([*same, *other, None])], "id int, value string, concept_id string")
     names = spark.createDataFrame(list(enumerate(NAMES)), "name_id int, name string")
     got = {r.id: r.name_id for r in lookalikes.meant_names(df, "value", names, "name", "name_id").collect()}
-    assert got == dict(enumerate([1, 2, 2, 0, 3, 4, 8, 10, 1]))
+    assert got == dict(enumerate([1, 2, 2, 0, 3, 4, 8, 10, 1, 1, 2]))
     assert lookalikes.meant_names(df, "value", names.limit(0), "name", "name_id").count() == 0
     assert lookalikes.meant_names(df.limit(0), "value", names, "name", "name_id").count() == 0
 
