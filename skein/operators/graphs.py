@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.components import components
+from skein.session import cut
 
 
 def degrees(edges: DataFrame, document: str, feature: str) -> DataFrame:
@@ -18,7 +19,8 @@ def connected_document_pairs(edges: DataFrame, document: str, feature: str) -> D
 
     Documents get dense integers. Every feature has bitmaps of its documents in ranges of 32,768. Documents with the same
     set of features form one class, for which the bitmaps of its features are merged once; the bits set, less the document
-    itself, are the partners of each document of the class.
+    itself, are the partners of each document of the class. A class has at most one bitmap of 4 KB for each range its
+    partners lie in, so in the worst case, all sets different and all documents linked, the bitmaps take one bit a pair.
     """
     links = edges.select(F.col(document).alias("d"), F.col(feature).alias("f")).distinct()
     classes = links.groupBy("d").agg(F.array_sort(F.collect_list("f")).alias("fs"))
@@ -80,3 +82,18 @@ def stars(rows: DataFrame, group: str, member: Column, existing: DataFrame | Non
     first = members.groupBy(group).agg(F.min("other").alias("first"))
     links = members.join(first, group).where("other != first").select(group, "first", "other")
     return links if existing is None else links.join(existing, ["first", "other"], "left_anti").select(group, "first", "other")
+
+
+def layers(edges: DataFrame, source: str, target: str, roots: DataFrame, root: str, depth: int) -> DataFrame:
+    """node, layer: nodes within depth steps of the roots over undirected edges, each in its nearest layer; roots are in layer 0.
+
+    One join a layer with the newest layer only; a hub's edges meet it by key and may be split by adaptive execution.
+    """
+    links = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null")
+    links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    known = newest = cut(roots.select(F.col(root).alias("node")).where("node is not null").distinct().withColumn("layer", F.lit(0)))
+    for layer in range(1, depth + 1):
+        step = newest.select(F.col("node").alias("a")).join(links, "a").select(F.col("b").alias("node")).distinct()
+        newest = cut(step.join(known, "node", "left_anti").withColumn("layer", F.lit(layer)))
+        known = known.unionByName(newest)
+    return known

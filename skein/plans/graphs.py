@@ -108,6 +108,18 @@ def one_hop_undirected(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.one_hop(a, "head_mention_id", "tail_mention_id", "relation_type", nodes, "mention_id", ["HAS_COMPONENT", "USES_MATERIAL", "LOCATED_IN"])
 
 
+@register(
+    f"""WITH RECURSIVE {_ASSERTIONS}, {_MENTIONS}, l AS (SELECT head_mention_id AS a, tail_mention_id AS b FROM assertions WHERE head_mention_id IS NOT NULL AND tail_mention_id IS NOT NULL), k AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    w(node, layer) AS (SELECT DISTINCT mention_id, 0 FROM mentions WHERE concept_type = 'DEVICE' UNION SELECT k.b, w.layer + 1 FROM w JOIN k ON k.a = w.node WHERE w.layer < 3)
+    SELECT layer, count(*) AS nodes FROM (SELECT node, min(layer) AS layer FROM w GROUP BY node) GROUP BY layer"""
+)
+def graph_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """How many mentions lie one, two and three relations from a device."""
+    roots = mentions(spark, folder).where("concept_type = 'DEVICE'").select("mention_id")
+    found = graphs.layers(assertions(spark, folder), "head_mention_id", "tail_mention_id", roots, "mention_id", 3)
+    return found.groupBy("layer").agg(F.count("*").alias("nodes"))
+
+
 @register(f"WITH {_EDGES}, g AS (SELECT feature, count(*) AS degree FROM edges GROUP BY 1 ORDER BY degree DESC, feature LIMIT 30) SELECT e.document_id, e.feature, g.degree FROM edges e JOIN g USING (feature) ORDER BY g.degree DESC, e.feature, e.document_id LIMIT 50")
 def bounded_subgraph(spark: SparkSession, folder: str) -> DataFrame:
     """At most 30 concept nodes and 50 edges, the best connected first."""

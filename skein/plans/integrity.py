@@ -160,6 +160,24 @@ def surviving_hits(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(w)).where("place <= 20")
 
 
+@register(
+    """WITH p AS (SELECT least(feature_a, feature_b) AS a, greatest(feature_a, feature_b) AS b, max(struct_pack(t := decided_at, d := upper(trim(decision)), p := same_probability, c := confidence)) AS l FROM pair_decisions WHERE feature_b IS NOT NULL AND feature_a <> feature_b AND decision IS NOT NULL AND decided_at IS NOT NULL GROUP BY ALL),
+    n AS (SELECT f, count(*) AS n FROM (SELECT a AS f FROM p UNION ALL SELECT b FROM p) GROUP BY f)
+    SELECT p.a, p.b, l.d AS decision, x.n AS a_pairs, y.n AS b_pairs, l.d || CASE WHEN l.p IS NULL THEN ' without a probability' WHEN l.d = 'SAME' AND l.p < 0.5 OR l.d = 'DIFFERENT' AND l.p > 0.5 THEN ' against its probability' ELSE ' as its probability says' END || CASE WHEN coalesce(l.c, 0) < 0.7 THEN ', unsure' ELSE ', sure' END AS reason
+    FROM p JOIN n x ON x.f = p.a JOIN n y ON y.f = p.b"""
+)
+def pair_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest decision of every pair with what each side takes part in, and a reason in words."""
+    p = table(spark, folder, "pair_decisions").where("feature_b is not null and feature_a <> feature_b and decision is not null and decided_at is not null")
+    last = F.max(F.struct(F.col("decided_at").alias("t"), F.upper(F.trim("decision")).alias("d"), F.col("same_probability").alias("p"), F.col("confidence").alias("c"))).alias("l")
+    pairs = p.groupBy(F.least("feature_a", "feature_b").alias("a"), F.greatest("feature_a", "feature_b").alias("b")).agg(last)
+    side = pairs.select(F.explode(F.array("a", "b")).alias("f")).groupBy("f").agg(F.count("*").alias("n"))
+    j = pairs.join(side.select(F.col("f").alias("a"), F.col("n").alias("a_pairs")), "a").join(side.select(F.col("f").alias("b"), F.col("n").alias("b_pairs")), "b")
+    against = ((F.col("l.d") == "SAME") & (F.col("l.p") < 0.5)) | ((F.col("l.d") == "DIFFERENT") & (F.col("l.p") > 0.5))
+    said = F.when(F.col("l.p").isNull(), " without a probability").when(against, " against its probability").otherwise(" as its probability says")
+    return j.select("a", "b", F.col("l.d").alias("decision"), "a_pairs", "b_pairs", F.concat("l.d", said, F.when(F.coalesce("l.c", F.lit(0.0)) < 0.7, ", unsure").otherwise(", sure")).alias("reason"))
+
+
 _KEY = "page-key"
 
 

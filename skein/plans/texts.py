@@ -180,4 +180,29 @@ def quote_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return candidates(spark, folder).where("target_text <> ''").select("candidate_id", (at - 1).cast("long").alias("offset_in_quote"), F.when(at > 0, F.col("span_start") + at - 1).otherwise(-1).cast("long").alias("target_start"))
 
 
+_PARTS = "CASE WHEN length(text) > 800 THEN 8 WHEN length(text) > 400 THEN 4 WHEN length(text) > 200 THEN 2 ELSE 1 END"
+
+
+@register(f"WITH {_CHUNKS} SELECT chunk_id, {_PARTS} AS parts, greatest(1, ceil(length(text) / {_PARTS})) > 200 AS refused, md5(text) AS joined FROM chunks WHERE text IS NOT NULL")
+def adaptive_halving(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts halved up to three times for a model that takes 200 code points; those still too long are refused."""
+    c = chunks(spark, folder).where("text is not null").select("chunk_id", tx.halved(F.col("text"), 200).alias("p"))
+    longest = F.array_max(F.transform("p", F.char_length))
+    return c.select("chunk_id", F.size("p").alias("parts"), (longest > 200).alias("refused"), F.md5(F.array_join("p", "")).alias("joined"))
+
+
+_ASCII = "regexp_full_match(canonical_name, '[\\x20-\\x7E]*')"
+
+
+@register(
+    f"""SELECT DISTINCT canonical_name, CASE WHEN {_ASCII} THEN trim(regexp_replace(lower(canonical_name), '\\s+', ' ', 'g')) END AS folded, CASE WHEN {_ASCII} THEN trim(regexp_replace(canonical_name, '\\s+', ' ', 'g')) END AS composed,
+    CASE WHEN {_ASCII} THEN trim(regexp_replace(lower(canonical_name), '[^a-z0-9]+', ' ', 'g')) END AS concept FROM concept_mentions WHERE canonical_name IS NOT NULL"""
+)
+def normal_forms_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The forms of names of plain characters, as SQL can give them; null for other names."""
+    plain = F.col("canonical_name").rlike(r"^[\x20-\x7E]*$")
+    forms = normal_forms(spark, folder)
+    return forms.select("canonical_name", *[F.when(plain, F.col(c)).alias(c) for c in ("folded", "composed", "concept")])
+
+
 QUERIES, ORACLE = register.queries, register.sql

@@ -112,3 +112,18 @@ def test_inverted_index_keeps_long_and_empty_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.words, r.same) for r in texts.inverted_index_text(spark, str(tmp_path)).collect()}
     assert got == {1: (3, True), 2: (20_001, None), 3: (0, None), 4: (0, None), 5: (20_000, True)}
+
+
+def test_relational_tables_round_trip(spark, tmp_path):
+    from skein.sources import relational
+
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    df = spark.range(0, 500).select("id", (F.col("id") % 7).cast("int").alias("n"), F.concat(F.lit("é"), "id").alias("t"))
+    relational.write_table(df, url, "items", partitions=2, **options)
+    got = relational.read_table(spark, url, "items", "id", 4, **options)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    few = got.where("n = 3").select("t")
+    assert "EqualTo(n,3)" in few._jdf.queryExecution().executedPlan().toString().replace(" ", "") and few.count() == 71
+    relational.write_table(df.limit(0), url, "empty", **options)
+    assert relational.read_table(spark, url, "empty", "id", **options).count() == 0
