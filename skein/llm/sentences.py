@@ -36,17 +36,17 @@ ALWAYS = {
 }
 #: A number, a label or a symbol follows these.
 NUMBERED = {
-    "en": "fig figs eq eqs sec secs tab tabs ref refs no nos vol ch p pp ed eds art",
-    "de": "abb abschn nr mind kap gl tab str art bd max min",
-    "fr": "fig no tab chap éq art tél p",
-    "ru": "рис разд табл п пп гл стр кв ок г гг",
+    "en": "fig figs eq eqs sec secs tab tabs ref refs no nos vol ch p pp ed eds art pat ser appl jan feb mar apr jun jul aug sep sept oct nov dec",
+    "de": "abb abschn nr mind kap gl tab str art bd max min jan feb mär apr aug sept okt nov dez",
+    "fr": "fig no tab chap éq art tél p janv févr avr juil sept oct nov déc",
+    "ru": "рис разд табл п пп гл стр кв д ок г гг",
     "hi": "",
 }
 #: These close a sentence if a word follows that opens sentences.
 MAY_CLOSE = {"en": "resp al dev st incl max min", "de": "h b str inkl std", "fr": "", "ru": "", "hi": ""}
 #: What is an abbreviation in another language only, and here a word like any other.
 ORDINARY = {
-    "en": set("mind str tel env bd b h m p c z d".split()),
+    "en": set("mind str tel env bd b h m p c z d mar".split()),
     "de": set("no fig art".split()),
     "fr": set("sec dev mind max".split()),
 }
@@ -91,6 +91,8 @@ _MIXED_START = re.compile(r"^[a-zα-ω]{1,2}-?[A-Z]")
 _LAST_PART = re.compile(r"[^.!?…]*$")
 _NUMBER = re.compile(r"^\(?\d{1,3}$")
 _AMOUNT = re.compile(r"(?:^|[\s(])\d[\d.,]*\s*$")
+_INITIALS = re.compile(r"(?:[A-Z]\.-?)+[A-Z]$")
+_ROMAN = re.compile(r"[IVX]{2,5}$")
 _ELISION = re.compile(r"^(?:[ldcjmnst]|qu)['’](?=\w)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
@@ -144,7 +146,7 @@ def _abbreviation_score(block: str, mark: int, end: int, word: str) -> float | N
     bare = following[0].strip("([{«„“\"'‘.,;:)") if following else ""
     if kind == "always":
         return -8.0
-    opens = bare[:1].isupper() and bare.lower() in OPENERS and len(bare) > 1
+    opens = _opens(following[0]) if following else False
     if kind == "may_close":
         return 2.0 if opens else -8.0
     if bare[:1].isupper() and bare[1:].islower() and (opens or len(bare) > 3) and not any(c.isdigit() for c in bare):
@@ -152,6 +154,13 @@ def _abbreviation_score(block: str, mark: int, end: int, word: str) -> float | N
     return -8.0
 
 
+def _opens(token: str) -> bool:
+    """Whether a capitalized word opens a sentence more likely than it goes on with one."""
+    bare = token.strip("([{«„“\"'‘.,;:)")
+    abbreviated = token.endswith(".") and bare.lower() in ABBREVIATIONS
+    return bare[:1].isupper() and len(bare) > 1 and bare.lower() in OPENERS and not abbreviated
+
+
 def _closing_score(block: str, mark: int, end: int) -> float:
     """How well a sentence closes with the word before the mark at `mark`; closing marks end at `end`."""
     run = block[mark:end].rstrip(CLOSING)
@@ -177,6 +186,8 @@ def _closing_score(block: str, mark: int, end: int) -> float:
     core = _ELISION.sub("", low.rstrip("."))
     if len(core) <= 2 and core.isalpha() and _AMOUNT.search(before):
         return 2.0  # a unit behind its number
+    if core == "д" and before.rstrip().endswith("т."):
+        return 0.5  # and so on
     if core in TIMES and _AMOUNT.search(before):
         return 2.0
     known = core if core in ABBREVIATIONS else "bzw" if core.endswith("-bzw") else "str" if core.endswith("str") and len(core) > 5 else ""
@@ -188,8 +199,14 @@ def _closing_score(block: str, mark: int, end: int) -> float:
         score = _abbreviation_score(block, mark, end, known)
         if score is not None:
             return score
+    following = block[end : end + 30].split(None, 1)
+    if _INITIALS.match(word):
+        # letters of a country or a name: followed by a name or a noun, unless a word opens a sentence
+        return 1.5 if following and _opens(following[0]) else -3.0 if following and following[0][:1].isupper() and "-" not in word else -5.0 if "-" in word else 0.5
     if core in MAY_BE_LAST:
         return 0.5
+    if _ROMAN.match(word) and (not before.strip() or before.rstrip()[-1] in END):
+        return -5.0
     tail = core.rsplit(".", 1)[-1]
     if len(tail) == 1 and tail.isalpha() and "." in core:
         return 0.0

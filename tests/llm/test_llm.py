@@ -442,6 +442,7 @@ def test_many_marks_take_time_in_proportion():
     [
         ["This is known from the prior art.", "The invention improves on it."], ["He said no.", "The test went on."], ["It was put in the tab.", "The cell failed."], ["Er ging über die Str.", "Danach kam er."],
         ["See Fig. 3 and Tab. 4.", "It is good."], ["Vgl. Art. 6 der Verordnung.", "Sie gilt."], ["As in No. 6 of the list.", "Ref. 7 says so."], ["As shown by Smith et al. in 1999, it held.", "Good."], ["Sie wohnt in der Lindenstr. 5 in Bonn.", "Er auch."],
+        ["He came to Washington D.C. on Jan. 5 by train.", "The U.S. Government acted.", "He left the U.S. The end."[:16], "The end."], ["J.-P. Martin est venu.", "Il est parti."], ["Он живёт на ул. Ленина, д. 5.", "Там тихо."], ["U.S. Pat. No. 5,123,456 was cited.", "It expired."], ["It was Feb. 3, 1990.", "We met."], ["I. Introduction.", "II. Methods."],
         ["Dr. Miller came.", "Prof. Otto left."], ["We use max. 5 and min. 6 of them.", "The value is at its max.", "Then it falls."], ["It held for 5 min.", "Samples were dried."], ["On le voit à l'art. 79 de la loi.", "Il est clair."],
     ],
 )
