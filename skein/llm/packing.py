@@ -165,19 +165,22 @@ def pack(items: DataFrame, key: str, tokens: str, loss_tokens: str, capacity: in
 
         return run
 
-    closed, level, before = [], 0, None
+    closed, level, before, count = [], 0, None, open_parts.count()
     while True:
-        count = open_parts.count()
         shards = max(1, math.ceil(count / SHARD_ITEMS))
         sharded = dealt(open_parts.withColumn("shard", F.pmod(F.xxhash64("k", "part", F.lit(level)), F.lit(shards))), "shard")
-        packed = cut(sharded.groupBy("shard").applyInPandas(packer(str(level)), schema))
-        after = packed.agg(F.count_distinct("container")).first()[0]
-        if shards == 1 or (before is not None and after > (1 - SAVED) * before):
+        packed = sharded.groupBy("shard").applyInPandas(packer(str(level)), schema)
+        if shards == 1:
+            closed.append(packed)
+            break
+        packed, open_ = cut(packed), ~F.col("full")
+        now = packed.agg(F.count_distinct("container").alias("all"), F.count_distinct(F.when(open_, F.col("container"))).alias("open"), F.count_if(open_).alias("items")).first()
+        if not now["items"] or (before is not None and now["all"] > (1 - SAVED) * before):
             closed.append(packed)
             break
         closed.append(packed.where("full"))
-        open_parts, level = packed.where(~F.col("full")).select("k", "part", "token_start", "tokens", "loss_tokens"), level + 1
-        before = packed.where(~F.col("full")).agg(F.count_distinct("container")).first()[0]
+        open_parts, level = packed.where(open_).select("k", "part", "token_start", "tokens", "loss_tokens"), level + 1
+        before, count = now["open"], now["items"]
     out = closed[0]
     for part in closed[1:]:
         out = out.unionByName(part)
