@@ -36,11 +36,11 @@ def _blocks_of(queries: DataFrame) -> int:
     return max(1, -(-queries.count() // QUERY_BLOCK))
 
 
-def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _query_blocks(queries: DataFrame, blocks: int, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of at most about QUERY_BLOCK queries, one at a time."""
-    blocks = _blocks_of(queries)
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).alias("k"), F.col(vector).alias("v")).toPandas()
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        rows = part.select(F.col(key).alias("k"), F.col(vector).alias("v")).toPandas()
         if len(rows):
             yield rows["k"].to_numpy(), _matrix(rows["v"])
 
@@ -57,7 +57,7 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     rows = spread(base.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")), "k")
     queries = queries.where(F.col(vector).isNotNull())
     out, blocks = None, _blocks_of(queries)
-    for ids, matrix in _query_blocks(queries, key, vector):
+    for ids, matrix in _query_blocks(queries, blocks, key, vector):
 
         def compare(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -83,7 +83,7 @@ def similarity_histogram(base: DataFrame, queries: DataFrame, key: str, vector:
     rows = spread(base.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")), "k")
     queries = queries.where(F.col(vector).isNotNull())
     out, blocks = None, _blocks_of(queries)
-    for ids, matrix in _query_blocks(queries, key, vector):
+    for ids, matrix in _query_blocks(queries, blocks, key, vector):
 
         def count(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             for batch in batches:
