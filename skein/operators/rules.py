@@ -43,6 +43,21 @@ def finite_or_zero(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)), F.lit(0.0)).otherwise(x)
 
 
+#: Answers that contradict each other, then what an answer means, the strongest first; c: contradicts, a: supports all, s:
+#: supports some, r: is relevant. Fixed values.
+RELATION_RULES = [
+    ("INVALID", "c is null or a is null or s is null or r is null"), ("CONTRADICTION_AND_SUPPORT", "c and (a or s)"), ("ALL_WITHOUT_SOME", "a and not s"), ("SOME_WITHOUT_RELEVANCE", "s and not r"),
+    ("conflicting", "c"), ("full", "a"), ("partial", "s"), ("uncertain", "r"),
+]
+
+
+def relation_of(answers: dict[str, Column]) -> Column:
+    """The relation that four yes-or-no answers amount to, or in capitals why they can't all be true; 'none' if all are no."""
+    c, a, s, r = (answers[k] for k in "casr")
+    unknown = c.isNull() | a.isNull() | s.isNull() | r.isNull()
+    return first_reason([("INVALID", unknown), ("CONTRADICTION_AND_SUPPORT", c & (a | s)), ("ALL_WITHOUT_SOME", a & ~s), ("SOME_WITHOUT_RELEVANCE", s & ~r), ("conflicting", c), ("full", a), ("partial", s), ("uncertain", r)], "none")
+
+
 # What two names may not hold one each.
 #: Whatever else the names hold.
 VETOES = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as tx
 from skein.io import table
-from skein.operators import snapshots
+from skein.operators import rules, snapshots
 from skein.operators.ranking import ranked
 from skein.plans.pipelines import RELATION_TAILS
 from skein.plans.registry import Register
@@ -178,6 +178,44 @@ def pair_audit(spark: SparkSession, folder: str) -> DataFrame:
     return j.select("a", "b", F.col("l.d").alias("decision"), "a_pairs", "b_pairs", F.concat("l.d", said, F.when(F.coalesce("l.c", F.lit(0.0)) < 0.7, ", unsure").otherwise(", sure")).alias("reason"))
 
 
+_CASES = " ".join(f"WHEN {condition} THEN '{name}'" for name, condition in rules.RELATION_RULES)
+
+
+@register(f"WITH p AS (SELECT upper(trim(decision)) = 'DIFFERENT' AS c, same_probability >= 0.9 AS a, same_probability >= 0.5 AND same_probability < 0.98 AS s, confidence >= 0.6 AS r FROM pair_decisions) SELECT CASE {_CASES} ELSE 'none' END AS relation, count(*) AS pairs FROM p GROUP BY 1")
+def relation_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Four answers for every decided pair, put together to a relation or rejected as contradictory."""
+    p, q = table(spark, folder, "pair_decisions"), F.col("same_probability")
+    answers = {"c": F.upper(F.trim("decision")) == "DIFFERENT", "a": q >= 0.9, "s": (q >= 0.5) & (q < 0.98), "r": F.col("confidence") >= 0.6}
+    return p.groupBy(rules.relation_of(answers).alias("relation")).agg(F.count("*").alias("pairs"))
+
+
+@register(
+    f"""WITH {_EVIDENCE}, {_CHUNKS}, e AS (SELECT evidence_id, external_id || CASE WHEN substr(evidence_id, 1, 2) = '00' THEN '?' ELSE '' END AS external_id, source, coalesce(title, '') || CASE WHEN substr(evidence_id, 1, 1) = '5' THEN '.' ELSE '' END AS title, chunk_id, revision_id, text || CASE WHEN substr(evidence_id, 1, 1) = '6' THEN '~' ELSE '' END AS text, channels, score FROM evidence WHERE external_id IS NOT NULL),
+    n AS (SELECT evidence_id, count(*) AS n FROM candidate_evidence GROUP BY 1), q AS (SELECT evidence_chunk_id AS chunk_id, bool_or(NOT contains(c.text, g.quote)) AS made_up FROM graph_candidates g JOIN chunks c ON c.chunk_id = g.evidence_chunk_id GROUP BY 1),
+    o AS (SELECT e.external_id, unnest([CASE WHEN n.n > 1 THEN 'DUPLICATE_EVIDENCE' END, CASE WHEN d.external_id IS NULL THEN 'UNKNOWN_SOURCE' END, CASE WHEN d.external_id IS NOT NULL AND (e.source <> d.source OR e.title <> coalesce(d.title, '')) THEN 'SOURCE_METADATA_MISMATCH' END, CASE WHEN e.revision_id <> c.revision_id THEN 'SOURCE_REVISION_MISMATCH' END,
+      CASE WHEN NOT contains(c.text, e.text) THEN 'EVIDENCE_SPAN_MISMATCH' END, CASE WHEN e.chunk_id IS NOT NULL AND c.chunk_id IS NULL THEN 'PHANTOM_CITATION' END, CASE WHEN q.made_up THEN 'FABRICATED_QUOTE' END, CASE WHEN e.chunk_id IS NULL THEN 'INVALID_CITATION' END, CASE WHEN coalesce(len(e.channels), 0) = 0 THEN 'COVERAGE_MISMATCH' END, CASE WHEN e.score IS NULL THEN 'MISSING_RESULT' END, '']) AS code
+      FROM e JOIN n USING (evidence_id) LEFT JOIN documents d ON d.external_id = e.external_id LEFT JOIN chunks c ON c.chunk_id = e.chunk_id LEFT JOIN q ON q.chunk_id = e.chunk_id)
+    SELECT external_id, coalesce(string_agg(DISTINCT code, ',' ORDER BY code) FILTER (code <> ''), '') AS errors FROM o WHERE code IS NOT NULL GROUP BY external_id"""
+)
+def observation_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The error codes of each source's evidence, checked against documents, chunks and quotes; copies are spoilt by their ids first."""
+    first, c = F.substring("evidence_id", 1, 1), chunks(spark, folder)
+    mark = lambda at, value: F.when(at, value).otherwise("")
+    e = evidence(spark, folder).where("external_id is not null").select(
+        "evidence_id", F.concat("external_id", mark(F.substring("evidence_id", 1, 2) == "00", "?")).alias("external_id"), "source", F.concat(F.coalesce("title", F.lit("")), mark(first == "5", ".")).alias("title"), "chunk_id", "revision_id", F.concat("text", mark(first == "6", "~")).alias("text"), "channels", "score"
+    )
+    n = table(spark, folder, "candidate_evidence").groupBy("evidence_id").agg(F.count("*").alias("n"))
+    quotes = table(spark, folder, "graph_candidates").select(F.col("evidence_chunk_id").alias("chunk_id"), "quote").join(c.select("chunk_id", "text"), "chunk_id").groupBy("chunk_id").agg(F.max(~F.contains("text", "quote")).alias("made_up"))
+    d = table(spark, folder, "documents").where("external_id is not null").select("external_id", F.col("source").alias("d_source"), F.coalesce("title", F.lit("")).alias("d_title"), F.lit(True).alias("known"))
+    j = e.join(n, "evidence_id").join(d, "external_id", "left").join(c.select("chunk_id", F.col("revision_id").alias("c_revision"), F.col("text").alias("c_text"), F.lit(True).alias("met")), "chunk_id", "left").join(quotes, "chunk_id", "left")
+    codes = {
+        "DUPLICATE_EVIDENCE": F.col("n") > 1, "UNKNOWN_SOURCE": F.col("known").isNull(), "SOURCE_METADATA_MISMATCH": (F.col("source") != F.col("d_source")) | (F.col("title") != F.col("d_title")), "SOURCE_REVISION_MISMATCH": F.col("revision_id") != F.col("c_revision"),
+        "EVIDENCE_SPAN_MISMATCH": ~F.contains("c_text", "text"), "PHANTOM_CITATION": F.col("chunk_id").isNotNull() & F.col("met").isNull(), "FABRICATED_QUOTE": F.col("made_up"), "INVALID_CITATION": F.col("chunk_id").isNull(), "COVERAGE_MISMATCH": F.coalesce(F.size("channels"), F.lit(0)) <= 0, "MISSING_RESULT": F.col("score").isNull(),
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in codes.items()]), lambda x: x.isNotNull())
+    return j.select("external_id", F.explode_outer(found).alias("code")).groupBy("external_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("errors"))
+
+
 _KEY = "page-key"
 
 

@@ -5,10 +5,12 @@ Each operator works on a streaming or a batch DataFrame alike, except where a ba
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,6 +41,20 @@ def drained(stream: DataFrame, keys: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out").drop("batch")
 
 
+def guarded(spark: SparkSession, place: str, **identity: object) -> str:
+    """A folder for the checkpoint of a run with this identity. The first run writes the identity there; a later run that
+    resumes with another one, such as other tables or another model, is refused."""
+    text = json.dumps(identity, sort_keys=True, separators=(",", ":"), default=str)
+    try:
+        known = spark.read.text(f"{place}/identity", wholetext=True).first()[0].strip()
+    except AnalysisException:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{place}/identity")
+        known = text
+    if known != text:
+        raise ValueError("the checkpoint belongs to a run with another identity")
+    return f"{place}/checkpoint"
+
+
 def tumbling_counts(events: DataFrame, ts: str, key: str, seconds: int, late: str | None = None) -> DataFrame:
     """window_start, key, n: rows of each key in fixed windows. late: how late a row of a stream may come."""
     if late:

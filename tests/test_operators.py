@@ -246,3 +246,23 @@ def test_patches_in_order(spark):
 
     df = spark.createDataFrame([([("a", "1"), ("b", "2"), ("a", "3"), ("b", None), ("c", None), ("c", "4")],), ([],), (None,)], "p array<struct<k: string, v: string>>")
     assert [r[0] for r in df.select(snapshots.replayed("p", "k", "v")).collect()] == [{"a": "3", "b": None, "c": "4"}, {}, None]
+
+
+def test_answers_make_a_relation_or_a_contradiction(spark):
+    import itertools
+
+    def plain(c, a, s, r):
+        if None in (c, a, s, r):
+            return "INVALID"
+        if c and (a or s):
+            return "CONTRADICTION_AND_SUPPORT"
+        if a and not s:
+            return "ALL_WITHOUT_SOME"
+        if s and not r:
+            return "SOME_WITHOUT_RELEVANCE"
+        return "conflicting" if c else "full" if a else "partial" if s else "uncertain" if r else "none"
+
+    rows = list(itertools.product([True, False, None], repeat=4))
+    df = spark.createDataFrame(rows, "c boolean, a boolean, s boolean, r boolean")
+    got = df.select("*", rules.relation_of({k: F.col(k) for k in "casr"}).alias("x")).collect()
+    assert all(g.x == plain(g.c, g.a, g.s, g.r) for g in got) and len(got) == 81

@@ -54,3 +54,13 @@ def test_results_expand_to_numbered_events(spark):
     a = got[got["k"] == "a"].sort_values("sequence")
     assert a["kind"].tolist() == ["started", "text", "text", "finished"] and a["payload"].map(len).tolist() == [0, 1024, 476, 0]
     assert isinstance(got, pd.DataFrame) and len(got[got["k"] == "b"]) == 2
+
+
+def test_a_checkpoint_is_bound_to_its_run(spark, tmp_path):
+    import pytest
+
+    place = str(tmp_path / "run")
+    first = ev.guarded(spark, place, table="events", model="é", size=3)
+    assert first == ev.guarded(spark, place, size=3, model="é", table="events")
+    with pytest.raises(ValueError):
+        ev.guarded(spark, place, table="events", model="b", size=3)
