@@ -549,6 +549,16 @@ def _group(span: Span) -> str:
     return "number" if span[2] in ("phone", "id_number") else span[2]
 
 
+def _apart(picked: list[tuple]) -> list[tuple[int, int, str]]:
+    """The best of overlapping picks (rank..., start, end, type), in order of their places."""
+    kept: list[tuple[int, int, str]] = []  # sorted, without overlaps
+    for *_, a, b, kind in sorted(picked, reverse=True):
+        at = bisect_left(kept, (a, b))
+        if (at == len(kept) or kept[at][0] >= b) and (at == 0 or kept[at - 1][1] <= a):
+            kept.insert(at, (a, b, kind))
+    return kept
+
+
 class Detector:
     """Trees, calibration and thresholds for each group of proposals."""
 
@@ -597,13 +607,7 @@ class Detector:
             for i in np.flatnonzero(p >= self.threshold[g]):
                 k, (a, b, kind, _) = owners[g][i]
                 picked[k].append((p[i] >= 0.9, b - a, float(p[i]), a, b, kind))
-        found = []
-        for mine in picked:
-            kept: list[tuple[int, int, str]] = []
-            for *_, a, b, kind in sorted(mine, reverse=True):
-                if all(b <= c or a >= d for c, d, _ in kept):
-                    kept.append((a, b, kind))
-            found.append(sorted(kept))
+        found = [_apart(mine) for mine in picked]
         return [found[c] for c in codes]
 
 

@@ -64,3 +64,16 @@ def test_composed_sentences_held_out():
 def test_without_a_vocabulary_file():
     d = pii.Detector(600, 3, "/no/such/file")
     assert d.spans("Contact: Harriet Quigley, h.quigley@site.example") == [(9, 24, "person"), (26, 48, "email")]
+
+
+def test_the_best_of_overlapping_picks_stay():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        picks = [(rng.random() > 0.5, rng.random(), a := rng.randrange(60), a + rng.randint(1, 9), rng.choice(pii.TYPES)) for _ in range(rng.randrange(25))]
+        kept = []
+        for *_, a, b, kind in sorted(picks, reverse=True):
+            if all(b <= c or a >= d for c, d, _ in kept):
+                kept.append((a, b, kind))
+        assert pii._apart(picks) == sorted(kept)
