@@ -211,4 +211,19 @@ def expanded_search(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.round(F.array_max("scores"), 6).alias("score"))
 
 
+@register("SELECT min(doc_id) AS doc_id, true AS numbered, true AS unit_length FROM documents WHERE trim(title) <> '' AND length(trim(text)) >= 80 GROUP BY source, external_id, text")
+def loaded_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents the load keeps, each identity once; whether their chunks are numbered without gaps and their vectors have length 1 or 0."""
+    c = loaded_chunks(spark, folder).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("ordinal").alias("last"), F.count_distinct("ordinal").alias("places"), F.every(F.col("norm").isin(0.0, 1.0)).alias("unit_length"))
+    return c.select("doc_id", ((F.col("n") == F.col("last") + 1) & (F.col("places") == F.col("n"))).alias("numbered"), "unit_length")
+
+
+@register("SELECT f AS feature, 1::BIGINT AS n, true AS canonical_is_decided FROM (SELECT feature_a AS f FROM pair_decisions WHERE feature_b IS NOT NULL UNION SELECT feature_b FROM pair_decisions WHERE feature_b IS NOT NULL) WHERE f IS NOT NULL")
+def canonical_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Every decided feature has one canonical feature, which is a decided one and its own."""
+    c = canonical_features(spark, folder).where("feature is not null")
+    own = c.where("feature = canonical").select(F.col("feature").alias("canonical"), F.lit(True).alias("own"))
+    return c.join(own, "canonical", "left").groupBy("feature").agg(F.count("*").alias("n"), F.every(F.coalesce("own", F.lit(False))).alias("canonical_is_decided"))
+
+
 QUERIES, ORACLE = register.queries, register.sql
