@@ -36,7 +36,7 @@ from skein.session import spread
 
 TYPES = ("person", "email", "phone", "id_number", "address")
 #: Labelled sentences that the trees are fitted on.
-TRAINING_SENTENCES = 6000
+TRAINING_SENTENCES = 10_000
 #: A public tokenizer's rank file (base64 token and rank on each line), for the commonness of words; the environment may name another.
 VOCABULARY = os.environ.get("SKEIN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Rank of a word that the vocabulary doesn't have.

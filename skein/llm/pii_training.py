@@ -139,7 +139,7 @@ _IDS = {
 _FRAMES = {
     "en": [
         "Author: {person}.", "Contact: {person}, {phone}", "Name: {person}; {id}", "Applicant {person} ({id}) paid the fee.", "Yesterday {person} called us.", "The sheet was signed by {person} and {person}.",
-        "For details see {person}, room 12.", "I met {person} at the gate.", "My manager, {person}, agreed.", "{person} wrote the first draft.", "{person} lives in town.", "Professor {person} joined.", "Mr. {person} and Mrs. {person} were late.",
+        "For details see {person}, room 12.", "I met {person} at the gate.", "My manager, {person}, agreed.", "{person} wrote the first draft.", "{person} lives in town.", "{person} paid the bill on Friday.", "{person} opened the door for us.", "{person} sent a letter to the board.", "{person} has resigned.", "{person} will come later.", "Professor {person} joined.", "Mr. {person} and Mrs. {person} were late.",
         "Please ask {person} about it.", "Attendees: {person}; {person}; {person}", "Participants were {person}, {person} and {person}.", "On shift: {person}, {person}", "According to {person}, it works.", "Ms. {person}, {address}, filed it.", "Ship to {person}, {address}.",
         "The house at {address} is empty.", "She stays at {address} and writes.", "Go to {address} for parts.", "We moved to {address}, then left.", "Send mail to {address}.", "My SSN is {rawid}.", "Her number is {phone}.", "Call me on {phone} or at {email}.", "Mail: {email}", "Write {email} for help.", "Reach {person} under {phone}.", "{email}", "{phone}", "Tel. {phone}",
         "{person} ({email}) reviewed it.", "Reviewed by {person} on Monday.", "We are grateful to {person} for advice.", "Witness {person} / {id} / {phone}", "From: {person} <{email}>", "Best regards,\n{person}", "Signed, {person}", "The clerk {person} said no.", "Our colleague {person} has moved to {address}, phone {phone}.",
@@ -172,9 +172,9 @@ _FRAMES = {
 _DECOYS = [
     "The {N} isotherm fits the {w}.", "A {N}-{N} model and the {N} equation were used.", "{N} Instruments Inc. sold the {w}.", "The {w} came from {N} Labs Ltd. in 20##.", "{N} GmbH and {N} & Co. KG merged.", "{N} University lies near {N} Bay.", "It is made by {N} Systems Corp. today.", "It was bought from {N} S.A. and sold.", "{N} S.p.A. and {N} N.V. joined {N} A.G. in 20##.", "Parts by {N} S.A. fail.", "{N} B.V. answered.", "The {N} Institute of {N} opened.", "{N} Bridge and {N} Park are near {N} Street.", "I bought a {N} {w} from {N} Stores.", "Grant ###-###-#### paid for the {w}.", "See lot ###-##-#### and batch ##-####.", "Lot ###-##-####, Grant ###-###-####.",
     "Logged 20##-04-1# 09:4#:0# under lot ###-##-####.", "Patent EP # ### ### B1 and application 20##-###### are cited.", "US #,###,### B2; WO 20##/######.", "CAS ####-##-#, doi:10.####/abc.#####.", "Data set doi:10.#####/x.##### and register no. ### ### ###.", "Order ##########, invoice ####-####-####.", "Serial no. AB####### fails.", "The {w} read ## K. After that it fell.", "It gave # V. {N} oxide was worse.", "Kept at ### K. The {w} held.", "At # A. For the {w}, see below.", "Use ### mg. On {N} paper it dries.",
-    "Results And Discussion", "Materials And Methods", "The Surface Area of the Film", "Claim ## covers a Sensor, Heater and Housing.", "Figure # and Table ## show the {w}.", "In New {N}, the {w} is cheap.", "The {N} River floods.", "On Monday, March ## it rained.", "The United Kingdom and the European Union agreed.", "The {N} effect is weak; the {N} {N} barrier is not.", "Vitamin C. Common salts help.", "Type B. Units differ.", "Model {L}-## beat model {L}-###.", "READ THE TEXT AND CHOOSE ONE.", "KEEP DRY. DO NOT HEAT.", "WHILE THE {L} {L} ROLLED THROUGH {L} {L}, THE {L} KEPT {L}.", "{L} {L}, ## {L} IN ALL, AND {L} {L} FELL BEFORE {L}.", "AFTER {L} IN {L} {L} THE {L} {L} STOPPED.", "{K} {K} {K} ИЗ {K} {K}, А {K} {K} В {K} {K} ЧЕРЕЗ ## {K}.", "{K} В {K} {K}, И {K} {K} {K} СТОЯЛА НА {K}.", "IM {L} {L} STAND EINE {L} {L} UND DER {L} {L} ZUR {L} {L}.", "{L} {L} {L} OF THE {L} {L}.", "THE {L} OF {L} AND {L} WAS {L}.", "{L} {L} ## {L}, {L} {L} ###.", "HOW TO USE THE {w}",
+    "Results And Discussion", "Materials And Methods", "The Surface Area of the Film", "Claim ## covers a Sensor, Heater and Housing.", "Figure # and Table ## show the {w}.", "In New {N}, the {w} is cheap.", "The {N} River floods.", "On Monday, March ## it rained.", "The United Kingdom and the European Union agreed.", "The {N} effect is weak; the {N} {N} barrier is not.", "Vitamin C. Common salts help.", "Type B. Units differ.", "Model {L}-## beat model {L}-###.", "READ THE TEXT AND CHOOSE ONE.", "KEEP DRY. DO NOT HEAT.", "WHILE THE {L} {L} ROLLED THROUGH {L} {L}, THE {L} KEPT {L}.", "{L} {L}, ## {L} IN ALL, AND {L} {L} FELL BEFORE {L}.", "AFTER {L} IN {L} {L} THE {L} {L} STOPPED.", "AND HANG ### GRAMS OF {L} {L} FROM ITS {L}, {L} {L} TO {L}.", "{L} {L} FELL, YET {L} {L} WAS {L}.", "NACH ## {L} RUND #,# {L}, WÄHREND {L} {L} DURCH ## {L} FIEL.", "ЗА ## {K} #,# {K}, {K} {K} {K} ЧЕРЕЗ ## {K}, И {K} {K} В {K}.", "{K} {K} {K} ИЗ {K} {K}, А {K} {K} В {K} {K} ЧЕРЕЗ ## {K}.", "{K} В {K} {K}, И {K} {K} {K} СТОЯЛА НА {K}.", "IM {L} {L} STAND EINE {L} {L} UND DER {L} {L} ZUR {L} {L}.", "{L} {L} {L} OF THE {L} {L}.", "THE {L} OF {L} AND {L} WAS {L}.", "{L} {L} ## {L}, {L} {L} ###.", "HOW TO USE THE {w}",
     "Pd@ZnO and 10ppm@300 gave ####### counts.", "Samples Na-###, Vn-### and Lt-##.", "Grid ##.#### N, ##.#### E.", "If {N} is heated, the {w} is lost.", "When {N} and {N} met, the {w} grew.", "In {N}, {N} and {N} the {w} sells well.", "{N} filters and {N} valves are sold.", "Both {N} cells and {N} tests failed.", "For {N} oxide, the {w} is low. The {N} stage drifts.", "About #### units, Version #.##.####.",
-    "Die {G} der {G} war gut.", "Die {G} wurde geprüft. Der {G} folgt.", "Geeignete {G} und {G}, z. B. {G}, sind bekannt.", "Bei der {G} Nr. ## fiel die {G} aus.", "Nach Anspruch ## ist die {G} dünn.", "Am ##. Oktober wurde die {G} ersetzt.", "{N} Messtechnik GmbH lieferte die {G}.", "Die {N}-Gleichung und das {N} Modell.", "Alle {G}, z. B. {G}, d. h. {G}, u. A. {G}.", "Vgl. Abb. ## und Tab. #.", "Versuch Nr. ##, {G} Xk-###.", "Das {G} {N}-### ist neu.", "Nach {G} {G} sank die {G}.", "Mit {G} {G} und {G} {G} ging es.", "Für ### Euro kaufte {G} {G} eine {G}.", "Von {N} S.A. kam die {G}.", "Q: Der {G} war neu.", "A: Im {G} stand eine {G}. Die {G} fiel.", "Der {G} {G} und die {G}.",
+    "Die {G} der {G} war gut.", "Die {G} wurde geprüft. Der {G} folgt.", "Geeignete {G} und {G}, z. B. {G}, sind bekannt.", "Bei der {G} Nr. ## fiel die {G} aus.", "Nach Anspruch ## ist die {G} dünn.", "Am ##. Oktober wurde die {G} ersetzt.", "{N} Messtechnik GmbH lieferte die {G}.", "Die {N}-Gleichung und das {N} Modell.", "Alle {G}, z. B. {G}, d. h. {G}, u. A. {G}.", "Vgl. Abb. ## und Tab. #.", "Versuch Nr. ##, {G} Xk-###.", "Das {G} {N}-### ist neu.", "Nach {G} {G} sank die {G}.", "Mit {G} {G} und {G} {G} ging es.", "Für ### Euro kaufte {G} {G} eine {G}.", "Von {N} S.A. kam die {G}.", "Q: Der {G} war neu.", "Man nahm ## {G} {G} und ### {G}.", "Es blieben nur ## von ### {G} {G} übrig, welche {G} zählt.", "Nach ## {G} {N} war Schluss.", "Rund # {G} {G}, während {G} fiel.", "A: Im {G} stand eine {G}. Die {G} fiel.", "Der {G} {G} und die {G}.",
     "La {F} de la {F} baisse.", "Les {F} p. ex. {N} sont connus. La {F} aussi.", "La société {N} S.A. a livré la {F}.", "Selon la revendication ##, la {F} est mince.", "Le modèle de {N} convient. Le {F} suit.", "La notice dit « Garder au sec. Ne pas ouvrir. »",
     "{R} из {C} на рис. ## растёт.", "{R} и {R} по п. ##.", "ООО {C} поставило прибор.", "Уравнение {C} и модель {C}. {R} мала.", "НА РИС. ## ПОКАЗАНА {K} {K}.", "{K} {K} ## ИЗ {K}.", "{R} {C} снизилась на ## %. Для {C} она выросла.", "По ГОСТ ####-## и патенту RU #######.", "Заявка 20########, договор ####-##.",
     "采用溶胶凝胶法制备的薄膜对氢气的灵敏度为#.#。", "经过##次循环后，稳定性明显提高，误差不超过#.#%。", "该方法包括加热步骤、冷却步骤和测量步骤。", "图#示出了电极的结构。", "第##次实验失败了！", "含WO3的衬底在潮湿空气中是否稳定？", "专利号：ZL##########.#，批号####-####。", "高温下，金属氧化物的电阻下降。", "加入##毫克并搅拌过夜。", "与其他材料相比，孔隙率保持不变。", "方法：将样品放入容器中。", "温度：##℃；时间：#小时", "万用表和石英管用于测量。", "金属、白金和黄铜", "方程、时间和温度",
